@@ -1,0 +1,78 @@
+"""Groups of directly or indirectly linked records: connected components on a two-dimensional grid.
+
+Vertices are hashed into blocks and an edge belongs to the cell (block of its lower end, block of its
+upper end), so even a vertex with a third of all edges is spread over a whole row or column of cells.
+Each cell runs a local union-find; a vertex then takes the least representative that the cells of its
+row and column found, and the representatives it saw become the edges of the next, much smaller round.
+When no edge is left the parents have stabilised and are composed downwards.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewire.session import materialise
+
+#: Edges that one cell is meant to hold: some tens of MB in a Python worker.
+CELL_EDGES = 250_000
+FIRST_GRID = 4
+
+
+def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct vertices of the edges and the least vertex of each one's local component."""
+    vertices, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = codes[: len(a)], codes[len(a) :]
+    parent = np.arange(len(vertices))
+    while True:
+        px, py = parent[x], parent[y]
+        differ = px != py
+        if not differ.any():
+            return vertices, vertices[parent]
+        x, y, low, high = x[differ], y[differ], np.minimum(px, py)[differ], np.maximum(px, py)[differ]
+        np.minimum.at(parent, high, low)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+
+
+def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    vertices, least = union_find(pdf["a"].to_numpy(), pdf["b"].to_numpy())
+    return pd.DataFrame({"vertex": vertices, "parent": least})
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", cell_edges: int = CELL_EDGES, first_grid: int = FIRST_GRID) -> DataFrame:
+    """Columns vertex, component (the least vertex of the component), for every vertex with an edge to another one.
+
+    Edges with a null end and loops link nothing; repeated and reversed edges count once; no edges give no rows.
+    """
+    plain = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
+    live = materialise(plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    levels: list[DataFrame] = []
+    left = live.count()
+    while left:
+        grid = math.ceil(math.sqrt(left / cell_edges))
+        grid = grid if levels else max(first_grid, grid)
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))  # noqa: B023, E731
+        found = live.groupBy(block("a").alias("row"), block("b").alias("column")).applyInPandas(cell, "vertex bigint, parent bigint")
+        # at most 2 * grid - 1 cells hold a vertex, which bounds the set
+        seen = materialise(found.groupBy("vertex").agg(F.collect_set("parent").alias("parents")).select("vertex", F.array_min("parents").alias("parent"), "parents"))
+        levels.append(seen.select("vertex", "parent"))
+        more = seen.select(F.col("parent").alias("a"), F.explode("parents").alias("b")).where("a <> b")
+        if grid == 1:
+            break
+        live = materialise(more.distinct())
+        left = live.count()
+    if not levels:
+        return live.select(F.col("a").alias("vertex"), F.col("b").alias("component")).limit(0)
+    labels = levels.pop()
+    while levels:
+        upper = labels.select(F.col("vertex").alias("parent"), F.col("parent").alias("top"))
+        labels = levels.pop().join(upper, "parent", "left").select("vertex", F.coalesce("top", "parent").alias("parent"))
+    return labels.select("vertex", F.col("parent").alias("component"))
