@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import tokens
+from tidewire.llm import leakage, tokens
 from tidewire.sources.tables import table
 
 
@@ -27,5 +27,13 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return documents.join(back, "doc_id").where(F.coalesce("text", F.lit("")) != F.col("decoded")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_counts, p7_round_trip)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_passages(spark, folder).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_counts, p7_round_trip, p8_found, p8_passages)}
 ORACLES: dict[str, str] = {"p7_round_trip": "select doc_id from documents where false"}
