@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import leakage, tokens
+from tidewire.llm import language, leakage, tokens
 from tidewire.sources.tables import table
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.mislabelled(table(spark, folder, "raw_messages"), table(spark, folder, "post_labels"))
+
+
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Each stretch of every cited post with its language and confidence."""
+    net = language.fit_network(table(spark, folder, "raw_messages"), table(spark, folder, "post_labels"))
+    posts = table(spark, folder, "cited_posts").select("channel_id", "msg_id", "text").distinct()
+    read = language.read_texts(posts, ["channel_id", "msg_id"], net).select("channel_id", "msg_id", F.explode("segments").alias("s"))
+    return read.select("channel_id", "msg_id", "s.start", "s.stop", "s.lang", F.round("s.confidence", 6).alias("confidence"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
 
@@ -35,5 +47,5 @@ def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_counts, p7_round_trip, p8_found, p8_passages)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_segments, p7_ids, p7_counts, p7_round_trip, p8_found, p8_passages)}
 ORACLES: dict[str, str] = {"p7_round_trip": "select doc_id from documents where false"}
