@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +154,7 @@ class Encoder:
 
 def in_pieces(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text each, so that a batch of long texts stays small in memory."""
-    ends = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype="int64"))
+    ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype="int64"))
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
