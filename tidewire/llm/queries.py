@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import language, leakage, tokens
+from tidewire.llm import language, leakage, pii, tokens
 from tidewire.sources.tables import table
 
 
@@ -47,5 +47,14 @@ def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_segments, p7_ids, p7_counts, p7_round_trip, p8_found, p8_passages)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents")).select("doc_id", F.explode("mentions").alias("m"))
+    return found.select("doc_id", "m.kind", "m.start_pos").distinct()
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents")).select("doc_id", "redacted", F.size("mentions").alias("mentions"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_segments, p7_ids, p7_counts, p7_round_trip, p8_found, p8_passages, p9_found, p9_redacted)}
 ORACLES: dict[str, str] = {"p7_round_trip": "select doc_id from documents where false"}
