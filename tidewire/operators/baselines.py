@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.robust import MAD_SCALE, median
 from tidewire.functions.timing import BAND_EDGES, REFERENCE_AGE, age_minutes, band_of, reference_band
+from tidewire.session import materialise
 
 METRICS = ("views", "reactions", "forwards", "comments")
 ALL = "*"
@@ -41,13 +42,14 @@ class BaselineParams:
 def readings(observations: DataFrame, kinds: DataFrame, p: BaselineParams) -> DataFrame:
     """channel_id, msg_id, kind, metric, age, band, value: one row for each published counter of each observation.
 
-    kinds: channel_id, kind. Readings from before publication are dropped, channels without a kind too.
+    kinds: channel_id, kind. Readings from before publication are dropped, channels without a kind too. The result is
+    materialised, as every step of a fit reads it and parsing the documents each time would cost far more.
     """
     rows = observations.withColumn("age", age_minutes("observed_at", "published_at")).where("age >= 0")
     rows = rows.join(kinds.where("kind is not null"), "channel_id")
     stack = ", ".join(f"'{m}', cast({m} as double)" for m in METRICS)
     long = rows.selectExpr("channel_id", "msg_id", "kind", "observed_at", "age", f"stack({len(METRICS)}, {stack}) as (metric, value)")
-    return long.where("value is not null").withColumn("band", band_of(F.col("age"), p.edges))
+    return materialise(long.where("value is not null").withColumn("band", band_of(F.col("age"), p.edges)))
 
 
 def mature_medians(long: DataFrame, p: BaselineParams) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.ids import bare_id
-from tidewire.functions.payload import first_fetches, moment, parsed
+from tidewire.functions.payload import moment, parsed
 from tidewire.functions.text import entity_references
 
 SOURCE_STATUSES = ("candidate", "seed", "maybe")
@@ -40,24 +40,29 @@ def usernames(channels: DataFrame) -> DataFrame:
 
 
 def source_messages(raw: DataFrame, channels: DataFrame) -> DataFrame:
-    """Dated messages of the channels that are sources: not chats and not rejected."""
+    """Dated messages of the channels that are sources (not chats and not rejected), as their first fetch shows them.
+
+    References are read before the fetches of a message meet, so texts and documents are never shuffled.
+    """
     scope = channels.where(F.col("status").isin(*SOURCE_STATUSES) & ~F.col("is_chat")).select(F.col("tg_id").alias("channel_id"))
-    rows = parsed(first_fetches(raw)).join(scope, "channel_id", "left_semi")
-    return rows.withColumn("published_at", moment(F.col("p.date"))).where("published_at is not null")
+    narrow = F.struct("fetched_at", F.col("p.date").alias("date"), F.col("p.grouped_id").alias("grouped_id"), F.col("p.fwd_from").alias("fwd"), entity_references("p.message", "p.entities").alias("refs"))
+    first = parsed(raw).groupBy("channel_id", "msg_id").agg(F.min(narrow).alias("m"))
+    rows = first.join(scope, "channel_id", "left_semi").withColumn("published_at", moment(F.col("m.date"))).where("published_at is not null")
+    return rows.select("channel_id", "msg_id", "published_at", "m.grouped_id", "m.fwd", "m.refs")
 
 
 def forwards(messages: DataFrame) -> DataFrame:
     """References by forward of another channel's post; users, hidden origins and the channel itself are none."""
-    target = F.col("p.fwd_from.from_id")
+    target = F.col("fwd.from_id")
     return messages.where((target["_"] == "PeerChannel") & target["channel_id"].isNotNull() & (target["channel_id"] != F.col("channel_id"))).select(
-        F.col("channel_id").alias("src_channel_id"), "msg_id", F.lit("forward").alias("kind"), target["channel_id"].alias("dst_channel_id"), F.col("p.fwd_from.channel_post").alias("dst_msg_id"),
-        "published_at", moment(F.col("p.fwd_from.date")).alias("dst_published_at"), F.col("p.grouped_id").alias("grouped_id"),
+        F.col("channel_id").alias("src_channel_id"), "msg_id", F.lit("forward").alias("kind"), target["channel_id"].alias("dst_channel_id"), F.col("fwd.channel_post").alias("dst_msg_id"),
+        "published_at", moment(F.col("fwd.date")).alias("dst_published_at"), "grouped_id",
     )
 
 
 def named(messages: DataFrame) -> DataFrame:
     """One row for each entity reference of a message: username or channel_id, and the post's id."""
-    rows = messages.select(F.col("channel_id").alias("src_channel_id"), "msg_id", "published_at", F.col("p.grouped_id").alias("grouped_id"), F.explode(entity_references("p.message", "p.entities")).alias("r"))
+    rows = messages.select(F.col("channel_id").alias("src_channel_id"), "msg_id", "published_at", "grouped_id", F.explode("refs").alias("r"))
     return rows.select("src_channel_id", "msg_id", "published_at", "grouped_id", "r.username", "r.channel_id", F.col("r.msg_id").alias("dst_msg_id"))
 
 

@@ -33,3 +33,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the copy, partition by partition."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan out to all cores where its files make fewer tasks than there are cores.
+
+    Only small inputs are moved: a table of many files is read where it lies. The rows stay the same.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Structured Streaming forms of the operators: the same transformations on micro-batches."""
