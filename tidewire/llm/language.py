@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.session import spread
+
 #: Two-letter code, three-letter codes and English name of languages that labels may name (fixed values).
 LANGUAGES = (
     "ar ara arabic,bg bul bulgarian,be bel belarusian,ca cat catalan,cs ces cze czech,da dan danish,de deu ger german,el ell gre greek,"
@@ -314,7 +316,7 @@ def mislabelled(raw: DataFrame, labels: DataFrame, params: NetParams = NetParams
     read where they lie; only keys and language names are shuffled to meet the labels.
     """
     net = net or fit_network(raw, labels, params)
-    found = languages(read_texts(messages(raw), ["channel_id", "msg_id"], net), ["channel_id", "msg_id"], params)
+    found = languages(read_texts(spread(messages(raw)), ["channel_id", "msg_id"], net), ["channel_id", "msg_id"], params)
     once = found.where(F.size("names") > 0).groupBy("channel_id", "msg_id").agg(F.max("names").alias("found"))
     joined = once.join(current_labels(labels), ["channel_id", "msg_id"], "left")
     return joined.where("not (names <=> found)").select("channel_id", "msg_id", F.explode("found").alias("lang"))

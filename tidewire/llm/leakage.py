@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.tokens import in_pieces
+from tidewire.session import spread
 
 #: Look-alike letters, after lower-casing and decomposition, and the letter they are read as (fixed values).
 LOOK_ALIKE = str.maketrans(
@@ -242,6 +243,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     spark: SparkSession = documents.sparkSession
     kinds = [documents.select(doc).schema[0].dataType.simpleString(), items.select(item).schema[0].dataType.simpleString()]
     rows = documents.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null and text is not null")
+    rows = spread(rows)
     schema = f"doc {kinds[0]}, item {kinds[1]}, words int"
 
     def search(index):

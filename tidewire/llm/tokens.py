@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.session import spread
+
 #: Default place of the public vocabulary files; a parameter everywhere.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
@@ -178,7 +180,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder
                 ids = encoder.encode(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("key"), ids], ["key", "ids"])
 
-    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = spread(documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
     return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
