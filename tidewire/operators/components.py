@@ -3,8 +3,10 @@
 Vertices are hashed into blocks and an edge belongs to the cell (block of its lower end, block of its
 upper end), so even a vertex with a third of all edges is spread over a whole row or column of cells.
 Each cell runs a local union-find; a vertex then takes the least representative that the cells of its
-row and column found, and the representatives it saw become the edges of the next, much smaller round.
-When no edge is left the parents have stabilised and are composed downwards.
+row and column found. These parents form trees of falling ids, which pointer jumping flattens; what else a
+vertex saw links the trees' roots and makes the edges of the next round. As a root has a neighbour that is
+none, each round at least halves the vertices, however deep the components are. When no edge is left the
+parents have stabilised and are composed downwards.
 """
 
 from __future__ import annotations
@@ -47,6 +49,16 @@ def cell(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"vertex": vertices, "parent": least})
 
 
+def flattened(parents: DataFrame) -> DataFrame:
+    """vertex, parent with every parent a root: each jump halves the depth of the trees."""
+    while True:
+        up = parents.select(F.col("vertex").alias("parent"), F.col("parent").alias("top"))
+        jumped = parents.select("vertex", "parent").join(up, "parent", "left")
+        parents = materialise(jumped.select("vertex", F.coalesce("top", "parent").alias("parent"), (F.col("top") < F.col("parent")).alias("moved")))
+        if not parents.where("moved").limit(1).count():
+            return parents.select("vertex", "parent")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", cell_edges: int = CELL_EDGES, first_grid: int = FIRST_GRID) -> DataFrame:
     """Columns vertex, component (the least vertex of the component), for every vertex with an edge to another one.
 
@@ -61,13 +73,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", cell_edges: int = C
         grid = grid if levels else max(first_grid, grid)
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))  # noqa: B023, E731
         found = live.groupBy(block("a").alias("row"), block("b").alias("column")).applyInPandas(cell, "vertex bigint, parent bigint")
-        # at most 2 * grid - 1 cells hold a vertex, which bounds the set
-        seen = materialise(found.groupBy("vertex").agg(F.collect_set("parent").alias("parents")).select("vertex", F.array_min("parents").alias("parent"), "parents"))
-        levels.append(seen.select("vertex", "parent"))
-        more = seen.select(F.col("parent").alias("a"), F.explode("parents").alias("b")).where("a <> b")
         if grid == 1:
+            levels.append(found)
             break
-        live = materialise(more.distinct())
+        # at most 2 * grid - 1 cells hold a vertex, which bounds the set
+        seen = materialise(found.groupBy("vertex").agg(F.collect_set("parent").alias("parents")).select(F.array_min("parents").alias("parent"), "vertex", "parents"))
+        roots = flattened(seen)
+        levels.append(roots)
+        links = seen.select(F.col("parent").alias("x"), F.explode("parents").alias("y")).where("x <> y").distinct()
+        root_of = lambda end, name: roots.select(F.col("vertex").alias(end), F.col("parent").alias(name))  # noqa: B023, E731
+        joined = links.join(root_of("x", "p"), "x").join(root_of("y", "q"), "y").where("p <> q")
+        live = materialise(joined.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
         left = live.count()
     if not levels:
         return live.select(F.col("a").alias("vertex"), F.col("b").alias("component")).limit(0)
