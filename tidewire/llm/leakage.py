@@ -65,6 +65,9 @@ class LeakParams:
     walks: int = 16
     samples: int = 9
     tables: int = 2
+    #: Shared hashes, over all windows and tables, from which a document and an item are aligned. Ten equal words in a row
+    #: share all walks * tables hashes; a passage with an edit in every window still shares several times this many.
+    hits: int = 4
     shared_openings: int = 3
     seed: int = 20240229
     #: Words of items in one index block (about 100 MB in a worker); more items make more passes over the corpus.
@@ -131,7 +134,7 @@ class Index:
                 yield mix
 
     def candidates(self, text: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """[doc, item text, place] rows; ``text`` holds the words of all documents, ``doc`` the document of each word.
+        """[doc, item text, place] rows, one a shared hash; ``text`` holds the words of all documents, ``doc`` the document of each word.
 
         ``place`` is where the item would start in ``text``, in half windows.
         """
@@ -153,8 +156,8 @@ class Index:
             at = np.repeat(dense, many)
             start = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
             item = order[start + np.arange(len(at))]
-            found.append(np.unique(np.stack([doc[at], self.owner[item], (at - self.at[item]) // (p.window // 2)], axis=1), axis=0))
-        return np.unique(np.concatenate(found), axis=0) if found else none
+            found.append(np.stack([doc[at], self.owner[item], (at - self.at[item]) // (p.window // 2)], axis=1))
+        return np.concatenate(found) if found else none
 
     def leaks(self, folded: list[list[str]]) -> list[tuple[int, int, int]]:
         """(document, item, words in a row) of every item of which a document of the batch holds a passage."""
@@ -169,7 +172,14 @@ class Index:
         half = p.window // 2
         length = np.array([len(t) for t in self.texts])
         wide = np.maximum(1, -(-length // half))[found[:, 1]]
-        zones = np.unique(np.stack([found[:, 0], found[:, 1], found[:, 2] // wide], axis=1), axis=0)  # near starts share one alignment
+        # near starts share one alignment; a start near the end of a zone counts for the next one too
+        low_zone, high_zone = found[:, 2] // wide, (found[:, 2] + 1) // wide
+        least, count = int(low_zone.min()), len(self.texts)
+        span = int(high_zone.max()) - least + 1
+        at = lambda zone: (found[:, 0] * count + found[:, 1]) * span + zone - least
+        keys, hits = np.unique(np.concatenate([at(low_zone), at(high_zone)]), return_counts=True)
+        keys = keys[hits >= 2 * p.hits]
+        zones = np.stack([keys // span // count, keys // span % count, keys % span + least], axis=1)
         wide = np.maximum(1, -(-length // half))[zones[:, 1]]
         low = np.maximum(starts[zones[:, 0]], (zones[:, 2] * wide - 2) * half)
         high = np.minimum(ends[zones[:, 0]], (zones[:, 2] + 1) * wide * half + length[zones[:, 1]] + 2 * half)
@@ -191,15 +201,17 @@ def in_a_row(texts: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     """
     c, n, m = len(texts), max(map(len, items), default=0), max(map(len, texts), default=0)
     item, text = np.full((c, n), -1, dtype="int32"), np.zeros((m, c), dtype="int32")
+    step = np.int16 if n < 30_000 else np.int32
     for i, (t, x) in enumerate(zip(texts, items)):
         item[i, : len(x)], text[: len(t), i] = x, t
     cost = 2
-    score, matched = np.zeros((c, n + 1), dtype="int32"), np.zeros((c, n + 1), dtype="int32")
-    zero = np.zeros((c, 1), dtype="int32")
-    most = np.zeros(c, dtype="int32")
+    score, matched = np.zeros((c, n + 1), dtype=step), np.zeros((c, n + 1), dtype=step)
+    zero = np.zeros((c, 1), dtype=step)
+    most = np.zeros(c, dtype=step)
+    gain, loss = step(1), step(-cost)
     for word in text:
         hit = item == word[:, None]
-        diagonal = score[:, :-1] + np.where(hit, 1, -cost)
+        diagonal = score[:, :-1] + np.where(hit, gain, loss)
         up = score[:, 1:] - cost
         new = np.maximum(diagonal, up)
         count = np.where(diagonal >= up, matched[:, :-1] + hit, matched[:, 1:])
