@@ -37,9 +37,9 @@ def latest(table: DataFrame, batch: DataFrame, keys: list[str], by: list[str]) -
 
 def refresh(table: DataFrame, batch: DataFrame, keys: list[str], fresh: list[str], keep: list[str]) -> DataFrame:
     """Upsert of chosen columns: ``fresh`` come from the batch, ``keep`` stay where set; other columns of old rows stay."""
-    old, new = table.alias("o"), batch.dropDuplicates(keys).alias("n")
+    old, new = table.alias("o"), batch.dropDuplicates(keys).withColumn("_arrived", F.lit(True)).alias("n")
     joined = old.join(new, same_key("o", "n", keys), "full")
-    arrived = reduce(lambda a, b: a | b, [F.col(f"n.{k}").isNotNull() for k in keys])
+    arrived = F.coalesce("n._arrived", F.lit(False))
 
     def value(c: str) -> Column:
         mine, theirs = F.col(f"o.{c}"), F.col(f"n.{c}") if c in batch.columns else F.lit(None)
