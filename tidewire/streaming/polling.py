@@ -14,9 +14,6 @@ STATE = "polls bigint, consecutive_empty int, consecutive_failures int, last_err
 
 def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Apply polls in the order of their moments; a success resets failures, new posts reset empty polls."""
-    if state.hasTimedOut:
-        state.remove()
-        return
     polls, empty, failures, error = state.get if state.exists else (0, 0, 0, None)
     rows = pd.concat(list(frames)).sort_values(["polled_at", "new_posts"], kind="stable")
     for new_posts, message in zip(rows["new_posts"], rows["error"]):
@@ -27,10 +24,13 @@ def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
             failures, error = 0, None
             empty = 0 if new_posts and new_posts > 0 else empty + 1
     state.update((int(polls), int(empty), int(failures), error))
-    state.setTimeoutDuration(30 * 24 * 3600 * 1000)
     yield pd.DataFrame({"tg_id": [key[0]], "polls": [polls], "consecutive_empty": [empty], "consecutive_failures": [failures], "last_error": [error]})
 
 
 def poll_state(polls: DataFrame) -> DataFrame:
-    """A stream of the newest state of each polled channel. polls: tg_id, polled_at, new_posts, error."""
-    return polls.groupBy("tg_id").applyInPandasWithState(advance, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """A stream of the newest state of each polled channel. polls: tg_id, polled_at, new_posts, error.
+
+    State is four values a channel and stays, as counters of a channel must; a processing-time timeout would also keep an
+    idle stream busy with empty batches.
+    """
+    return polls.groupBy("tg_id").applyInPandasWithState(advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
