@@ -82,13 +82,13 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 def first_wins(spark: SparkSession, folder: str) -> DataFrame:
     rows = raw(spark, folder).select("channel_id", "msg_id", epoch("fetched_at"), F.length("payload").cast("bigint").alias("size"))
-    held = rows.where("msg_id % 2 = 0")
+    held = table(spark, folder, "cited_posts").select("channel_id", "msg_id")
     return store.absent(rows, held, ["channel_id", "msg_id"], ["fetched_at", "size"])
 
 
 def latest_wins(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "raw_channels").select("channel_id", epoch("fetched_at"), F.coalesce("payload", F.lit("")).alias("payload"))
-    return store.latest(rows.where("channel_id % 2 = 0"), rows, ["channel_id"], ["fetched_at"])
+    return store.latest(rows.where("payload = ''"), rows.where("payload <> ''"), ["channel_id"], ["fetched_at"])
 
 
 def post_counters(spark: SparkSession, folder: str) -> DataFrame:

@@ -165,7 +165,7 @@ ORACLES = {
     "missing_edges": f"with {MESSAGES}, {EDGES} select distinct src src_channel_id, msg_id, kind, dst dst_channel_id, dst_msg_id from every x where not exists (select 1 from e where e.src = x.src and e.msg_id = x.msg_id and e.kind = x.kind and e.dst = x.dst and e.dst_msg_id is not distinct from x.dst_msg_id)",
     "edge_keys": f"with {EDGES} select src src_channel_id, msg_id, kind, dst dst_channel_id, dst_msg_id, epoch(published_at)::bigint published_at, epoch(derived_at)::bigint derived_at from e",
     "inventory": f"with {INVENTORY} select tg_id, username, title, status, kind, is_chat from inv",
-    "first_wins": "select channel_id, msg_id, fetched_at, size from (select channel_id, msg_id, epoch(fetched_at)::bigint fetched_at, length(payload)::bigint size, row_number() over (partition by channel_id, msg_id order by epoch(fetched_at)::bigint, length(payload)) rn from raw_messages where msg_id % 2 <> 0) where rn = 1",
+    "first_wins": "select channel_id, msg_id, fetched_at, size from (select channel_id, msg_id, epoch(fetched_at)::bigint fetched_at, length(payload)::bigint size, row_number() over (partition by channel_id, msg_id order by epoch(fetched_at)::bigint, length(payload)) rn from raw_messages r where not exists (select 1 from cited_posts c where c.channel_id = r.channel_id and c.msg_id = r.msg_id)) where rn = 1",
     "latest_wins": "select channel_id, fetched_at, payload from (select channel_id, epoch(fetched_at)::bigint fetched_at, coalesce(payload, '') payload, row_number() over (partition by channel_id order by epoch(fetched_at)::bigint desc, coalesce(payload, '') desc) rn from raw_channels) where rn = 1",
     "post_counters": f"with {READINGS} select channel_id, msg_id, epoch(observed_at)::bigint observed_at, epoch(published_at)::bigint published_at, views, forwards, reactions, comments from obs",
     "reaction_kinds": """with r as (select channel_id, msg_id, fetched_at, payload, unnest(json_extract(payload::json, '$.reactions.results[*]')) x, row_number() over () id from raw_messages),
