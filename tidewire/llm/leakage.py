@@ -36,8 +36,8 @@ LOOK_ALIKE = str.maketrans(
 )
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 BROKEN = re.compile("(?<=\\w)[-\u2010]\n\\s*(?=\\w)")
-INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁪-⁯︀-️﻿]")
-MARKS = re.compile("[̀-ͯ]")
+INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufe00-\ufe0f\ufeff]")
+MARKS = re.compile(r"[\u0300-\u036f]")
 WORD = re.compile(r"[^\W_]+")
 
 
