@@ -107,6 +107,20 @@ def test_communities_cover_and_separate(spark):
     assert modularity(pairs, flat) > 0.3
 
 
+def test_stability_counts_all_mates(spark, rows):
+    from collections import defaultdict
+
+    runs = {0: [1, 1, 1, 1, 5, 6, 6], 1: [1, 1, 3, 3, 5, 6, 7], 2: [1, 2, 1, 1, 1, 6, 6]}
+    df = spark.createDataFrame([(s, n, c) for s, labels in runs.items() for n, c in enumerate(labels, 1)], "seed int, node bigint, community bigint")
+    got = {r["node"]: r["stability"] for r in communities.with_stability(df, 0).collect()}
+    mates = defaultdict(list)
+    for n in range(1, 8):
+        mates[n] = [m for m in range(1, 8) if m != n and runs[0][m - 1] == runs[0][n - 1]]
+    want = {n: sum(labels[n - 1] == labels[m - 1] for labels in runs.values() for m in ms) / (3 * len(ms)) if ms else 1.0 for n, ms in mates.items()}
+    assert got == pytest.approx(want)
+    assert len(communities.CommunityParams().seeds) == 50
+
+
 def test_nmi_ends(spark):
     left = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2)], "node bigint, community bigint")
     right = spark.createDataFrame([(1, 8), (2, 8), (3, 9), (4, 9)], "node bigint, community bigint")

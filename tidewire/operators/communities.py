@@ -19,7 +19,7 @@ class CommunityParams:
     rounds: int = 12
     resolution: float = 1.6
     local_edges: int = 2_000_000
-    seeds: tuple[int, ...] = (1, 2, 3, 4, 5)
+    seeds: tuple[int, ...] = tuple(range(50))  # the first gives the partition, all of them its stability
 
 
 def decayed_pairs(edges: DataFrame, now: Column, half_life_days: float = 180.0) -> DataFrame:
@@ -98,7 +98,7 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed
 
 
 def communities(pairs: DataFrame, p: CommunityParams = CommunityParams()) -> DataFrame:
-    """node, community (its least node), stability: how alike the partitions of several seeds place the node's pairs.
+    """node, community (its least node), stability: how alike the partitions of all seeds place the node's community-mates.
 
     A graph of at most ``local_edges`` pairs, which is counted first, is partitioned by greedy modularity, one task a seed;
     a larger one by label propagation, whose stability is null.
@@ -115,12 +115,22 @@ def communities(pairs: DataFrame, p: CommunityParams = CommunityParams()) -> Dat
 
     every = kept.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in p.seeds])))
     runs = materialise(every.groupBy("seed").applyInPandas(run, "seed int, node long, community long"))
-    first = runs.where(F.col("seed") == p.seeds[0]).select("node", "community")
-    linked = kept.join(first.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(first.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb").select("a", "b")
-    ends = runs.alias("x").join(linked, F.col("x.node") == F.col("a")).select("x.seed", "a", "b", F.col("x.community").alias("at_a"))
-    together = ends.alias("e").join(runs.alias("y"), (F.col("e.seed") == F.col("y.seed")) & (F.col("e.b") == F.col("y.node"))).select("a", "b", (F.col("at_a") == F.col("y.community")).cast("int").alias("same"))
-    share = together.select(F.explode(F.array("a", "b")).alias("node"), "same").groupBy("node").agg(F.avg("same").alias("stability"))
-    return first.join(share, "node", "left")
+    return with_stability(runs, p.seeds[0])
+
+
+def with_stability(runs: DataFrame, base: int) -> DataFrame:
+    """node, community, stability of the run of seed ``base`` among runs (seed, node, community).
+
+    A node's stability is the share of its community-mates that a run keeps with it, averaged over all runs; a node alone
+    in its community scores 1. Runs are counted by cells (base community, seed, run community), so no pairs are made.
+    """
+    first = runs.where(F.col("seed") == base).select("node", F.col("community").alias("base"))
+    size = first.groupBy("base").agg(F.count("*").alias("size"))
+    placed = runs.join(first, "node")
+    cells = placed.groupBy("base", "seed", "community").agg(F.count("*").alias("n"))
+    mates = F.when(F.col("size") > 1, (F.col("n") - 1) / (F.col("size") - 1)).otherwise(1.0)
+    kept = placed.join(cells.join(size, "base").select("base", "seed", "community", mates.alias("kept")), ["base", "seed", "community"])
+    return kept.groupBy("node", F.col("base").alias("community")).agg(F.avg("kept").alias("stability"))
 
 
 def nmi(left: DataFrame, right: DataFrame) -> DataFrame:
