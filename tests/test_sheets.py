@@ -121,6 +121,23 @@ def test_stability_counts_all_mates(spark, rows):
     assert len(communities.CommunityParams().seeds) == 50
 
 
+def test_partition_is_one_method_at_every_size(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(a, b, 1.0) for g in range(3) for a in range(g * 12, g * 12 + 12) for b in range(a + 1, g * 12 + 12) if rng.random() < 0.6] + [(0, 12, 1.0), (12, 24, 1.0)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint, weight double")
+    got = communities.partition(df, communities.CommunityParams(resolution=1.0, seeds=(1, 2), local_edges=10)).collect()
+    label = {r["node"]: r["community"] for r in got}
+    assert set(label) == {x for a, b, _ in pairs for x in (a, b)} and all(0 <= r["stability"] <= 1 for r in got)
+    assert len(set(label.values())) == 3 and modularity(pairs, label) > 0.6
+    assert all(c == min(n for n in label if label[n] == c) for c in label.values())
+    local = communities.partition(df, communities.CommunityParams(resolution=1.0, seeds=(1, 2))).collect()
+    assert sorted(map(tuple, local)) == sorted(map(tuple, got))  # the size decides only where the rounds are made
+    # at a high resolution every node stays alone: the resolution counts at every size, and lone nodes score 1
+    fine = communities.partition(df, communities.CommunityParams(resolution=500.0, seeds=(1, 2), local_edges=10)).collect()
+    assert len({r["community"] for r in fine}) == len(label) and {r["stability"] for r in fine} == {1.0}
+    assert communities.partition(df.limit(0), communities.CommunityParams(seeds=(1,))).count() == 0
+
+
 def test_nmi_ends(spark):
     left = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2)], "node bigint, community bigint")
     right = spark.createDataFrame([(1, 8), (2, 8), (3, 9), (4, 9)], "node bigint, community bigint")

@@ -307,7 +307,7 @@ def balanced_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def community_partition(spark: SparkSession, folder: str) -> DataFrame:
-    return communities.communities(communities.balanced_pairs(decayed(spark, folder)))
+    return communities.partition(communities.balanced_pairs(decayed(spark, folder)))
 
 
 def label_propagation(spark: SparkSession, folder: str) -> DataFrame:
