@@ -75,6 +75,12 @@ def test_run_over_many_partitions_counts_whole(spark, rows):
     assert rows(spikes.implausible_posts(spark.createDataFrame(data, SCHEMA))) == brute(data)
 
 
+@pytest.mark.parametrize("run", [3, 4, 5])
+def test_runs_near_the_median_of_a_narrow_channel(spark, rows, run):
+    data = [(1, m, 5000 + 37 * (m % 11) - 185, None, None) for m in range(60)] + [(1, 60 + m, 5000, None, None) for m in range(run)] + [(1, 70 + m, 5001 + 41 * m, None, None) for m in range(9)]
+    assert rows(spikes.implausible_posts(spark.createDataFrame(data, SCHEMA))) == brute(data)
+
+
 def test_empty_null_ties_and_clashing_columns(spark, rows):
     assert rows(spikes.implausible_posts(spark.createDataFrame([], SCHEMA))) == []
     odd = [(None, 1, 5, 6, 7), (1, None, -5, 1, 1), (1, 1, None, None, None), (2, 1, -1, None, None), (2, 1, -1, None, None), (3, 1, 10, 11, None)]

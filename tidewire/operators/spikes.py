@@ -266,7 +266,7 @@ def contexts(rows: list, params: SpikeParams) -> dict[int, dict]:
 
 
 def flag(params: SpikeParams, around: dict[int, dict]):
-    """Pass two: probabilities, the most likely state and run length of every suspicious number."""
+    """Pass two: probabilities, the most likely state and run length of every number that is suspicious or that an exact rule may take."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = whole(frames)
@@ -280,7 +280,9 @@ def flag(params: SpikeParams, around: dict[int, dict]):
         n = len(b)
         full = length + np.where(first == 0, near["reach_in"], 0) + np.where(first + length == n, near["reach_out"], 0)
         known = ~np.isnan(b.x)
-        take = known & ((1 - p[..., 0] >= params.suspicion) | b.bad)
+        with np.errstate(invalid="ignore"):
+            ruled = (b.x >= params.least) & ((b.x >= params.times * b.median) | (full >= params.run))
+        take = known & ((1 - p[..., 0] >= params.suspicion) | b.bad | ruled)
         i, j = np.nonzero(take)
         state = p[i, j].argmax(axis=-1)
         state = np.where(b.bad[i, j], 3, state)
@@ -305,7 +307,7 @@ FLAGS = "source bigint, position bigint, metric string, value double, median dou
 
 
 def flag_numbers(posts: DataFrame, source: str, position: str, params: SpikeParams = SpikeParams()) -> DataFrame:
-    """Every number that the model does not hold for normal, with its state, probability and run length.
+    """Every number that the model does not hold for normal or an exact rule takes, with its state, probability and run length.
 
     Repeated (source, position) rows count once (of differing repeats, the greatest numbers); rows without a source or
     position are left out; a null number is never flagged and ends a run. An empty table gives no rows; extra columns
@@ -324,7 +326,7 @@ def flag_numbers(posts: DataFrame, source: str, position: str, params: SpikePara
 
 
 def implausible_posts(posts: DataFrame, source: str = "channel_id", position: str = "msg_id", params: SpikeParams = SpikeParams()) -> DataFrame:
-    """Posts with a number that cannot be: the model's flags, then the exact rules on what it flagged."""
+    """Posts with a number that cannot be: the exact rules on what the model flagged and on every number that they may take."""
     flags = flag_numbers(posts, source, position, params)
     big = F.col("value") >= params.least
     exact = F.col("impossible") | (big & ((F.col("value") >= params.times * F.col("median")) | (F.col("run") >= params.run)))
