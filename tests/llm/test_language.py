@@ -71,6 +71,21 @@ def test_mislabelled(spark, rows, net):
     assert language.mislabelled(r.limit(0), post, net=net).count() == 0
 
 
+def test_segments_of_messages_and_posts(spark, rows, net, tmp_path, monkeypatch):
+    from tidewire.llm import queries
+
+    rng = np.random.default_rng(8)
+    at = datetime(2026, 1, 1)
+    en, ru, de = (" ".join(sentence(x, rng) for _ in range(2)) for x in ("en", "ru", "de"))
+    raw = [(1, i, json.dumps({"_": "Message", "message": t}), at) for i, t in enumerate([en, ru, "", en, ru])] + [(1, 0, json.dumps({"_": "Message", "message": en}), at), (1, 9, None, at)]
+    spark.createDataFrame(raw, "channel_id bigint, msg_id bigint, payload string, fetched_at timestamp").write.parquet(str(tmp_path / "raw_messages.parquet"))
+    spark.createDataFrame([(1, 0, en), (1, 0, en), (2, 5, de), (None, 1, de), (None, 1, ru), (2, 6, None)], "channel_id bigint, msg_id bigint, text string").write.parquet(str(tmp_path / "cited_posts.parquet"))
+    spark.createDataFrame([], "channel_id bigint, msg_id bigint, lang string, labelled_at timestamp").write.parquet(str(tmp_path / "post_labels.parquet"))
+    monkeypatch.setattr(language, "fit_network", lambda *_: net)
+    got = queries.p4_segments(spark, str(tmp_path))
+    assert rows(got, "channel_id", "msg_id", "lang") == [(1, 0, "en"), (1, 1, "ru"), (1, 3, "en"), (1, 4, "ru"), (2, 5, "de"), (None, 1, "de"), (None, 1, "ru")]
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = language.ByteNet(["a", "b"], NetParams(length=12, embed=3, widths=(2, 3), filters=4))

@@ -264,6 +264,13 @@ def messages(raw: DataFrame) -> DataFrame:
     return rows.select("channel_id", "msg_id", F.col("p.message").alias("text"))
 
 
+def texts_once(raw: DataFrame, posts: DataFrame) -> DataFrame:
+    """channel_id, msg_id, text of messages and posts, one text a key; rows without a full key keep each text."""
+    rows = messages(raw).unionByName(posts.select("channel_id", "msg_id", F.col("text").cast("string").alias("text"))).where("text is not null")
+    own = F.when(F.col("channel_id").isNull() | F.col("msg_id").isNull(), F.col("text")).alias("own")
+    return rows.groupBy("channel_id", "msg_id", own).agg(F.max("text").alias("text")).drop("own")
+
+
 def current_labels(labels: DataFrame) -> DataFrame:
     """channel_id, msg_id, names: the newest label of each message; of equally new ones the last in order."""
     last = labels.where("channel_id is not null and msg_id is not null").groupBy("channel_id", "msg_id").agg(F.max(F.struct("labelled_at", "lang")).alias("l"))

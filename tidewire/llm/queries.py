@@ -14,10 +14,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Each stretch of every cited post with its language and confidence."""
-    net = language.fit_network(table(spark, folder, "raw_messages"), table(spark, folder, "post_labels"))
-    posts = table(spark, folder, "cited_posts").select("channel_id", "msg_id", "text").distinct()
-    read = language.read_texts(posts, ["channel_id", "msg_id"], net).select("channel_id", "msg_id", F.explode("segments").alias("s"))
+    """Each stretch of every message and cited post with its language and confidence."""
+    raw = table(spark, folder, "raw_messages")
+    net = language.fit_network(raw, table(spark, folder, "post_labels"))
+    texts = language.texts_once(raw, table(spark, folder, "cited_posts"))
+    read = language.read_texts(texts, ["channel_id", "msg_id"], net).select("channel_id", "msg_id", F.explode("segments").alias("s"))
     return read.select("channel_id", "msg_id", "s.start", "s.stop", "s.lang", F.round("s.confidence", 6).alias("confidence"))
 
 
