@@ -212,21 +212,25 @@ def modularity_runs(pairs: DataFrame, p: CommunityParams = CommunityParams()) ->
 def partition(pairs: DataFrame, p: CommunityParams = CommunityParams()) -> DataFrame:
     """node, community (its least node), stability: one method, greedy modularity in rounds, for graphs of every size.
 
-    A graph of at most ``local_edges`` pairs makes its rounds in one task a seed, a larger one over the cluster; rounds, draws
+    A graph of at most ``local_edges`` pairs makes the rounds of a seed in one task, a larger one over the cluster; rounds, draws
     and ends are the same, so this choice does not change what comes out.
     """
     kept = materialise(pairs.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double")))
     if kept.limit(p.local_edges + 1).count() > p.local_edges:
         return with_stability(materialise(modularity_runs(kept, p)), p.seeds[0])
 
+    parts = min(len(p.seeds), pairs.sparkSession.sparkContext.defaultParallelism)  # copies of the graph, each for some seeds
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "b"])
-        seed = int(pdf["seed"].iloc[0])
-        nodes, member = settled(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["weight"].to_numpy(), seed, p.resolution)
-        return pd.DataFrame({"seed": seed, "node": nodes, "community": pd.Series(nodes).groupby(member).transform("min").to_numpy()})
-
-    every = kept.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in p.seeds]))).repartition(len(p.seeds), "seed")
-    return with_stability(materialise(every.groupBy("seed").applyInPandas(run, "seed int, node long, community long")), p.seeds[0])
+        a, b, w, out = pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["weight"].to_numpy(), []
+        for seed in p.seeds[int(pdf["part"].iloc[0]) :: parts]:
+            nodes, member = settled(a, b, w, seed, p.resolution)
+            out.append(pd.DataFrame({"seed": seed, "node": nodes, "community": pd.Series(nodes).groupby(member).transform("min").to_numpy()}))
+        return pd.concat(out)
+
+    every = kept.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(parts)]))).repartitionById(parts, F.col("part"))
+    return with_stability(materialise(every.groupBy("part").applyInPandas(run, "seed int, node long, community long")), p.seeds[0])
 
 
 def communities(pairs: DataFrame, p: CommunityParams = CommunityParams()) -> DataFrame:
