@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.ids import bare_id, ordered_pair
-from tidewire.operators.components import CELL_EDGES, components
+from tidewire.session import materialise
 
 
 def current_pairs(candidates: DataFrame) -> DataFrame:
@@ -22,10 +22,35 @@ def current_pairs(candidates: DataFrame) -> DataFrame:
     return last.select("a", "b", F.col("last.run_id").alias("run_id"), F.col("last.decision").alias("decision"))
 
 
-def families(candidates: DataFrame, cell_edges: int = CELL_EDGES) -> DataFrame:
+def closure(pairs: DataFrame) -> DataFrame:
+    """vertex, component (the least vertex reached) of linked pairs (a, b), by large and small stars in turn.
+
+    A large star links a vertex's greater neighbours to the least of its neighbourhood, a small star its lesser ones; both
+    keep components and shorten paths, until every component is one star around its least vertex. Each step is a combined
+    minimum and a join; repeated pairs count once, loops link nothing, no pairs give no rows.
+    """
+    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = lambda rows: rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    tidy = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    state = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38, 0)")).alias("h")).first()
+    edges = materialise(tidy(pairs.select("a", "b").where("a is not null and b is not null")))
+    before, now = None, state(edges)
+    while now != before:
+        near = both(edges)
+        large = tidy(near.join(least(near), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        small = down.join(least(down), "u")
+        linked = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        edges = materialise(tidy(linked))
+        before, now = now, state(edges)
+    stars = edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+    return stars.unionByName(edges.select(F.col("b").alias("vertex"), F.col("b").alias("component"))).distinct()
+
+
+def families(candidates: DataFrame) -> DataFrame:
     """channel_id and family_key (the least id) of every channel in a family of two or more."""
     confirmed = current_pairs(candidates).where("decision = 'confirmed'")
-    return components(confirmed, cell_edges=cell_edges).select(F.col("vertex").alias("channel_id"), F.col("component").alias("family_key"))
+    return closure(confirmed).select(F.col("vertex").alias("channel_id"), F.col("component").alias("family_key"))
 
 
 def family_changes(stored: DataFrame, fresh: DataFrame) -> DataFrame:

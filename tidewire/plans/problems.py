@@ -1,11 +1,11 @@
-"""Queries of the general data problems (p1, p2, p3, p5, p6) over their whole tables."""
+"""Queries of the general data problems (p1, p3, p6) over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.operators import families, history, quantiles, references, spikes
+from tidewire.operators import history, references, spikes
 from tidewire.sources.tables import table
 
 
@@ -18,14 +18,6 @@ def p1_flags(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumnsRenamed({"source": "channel_id", "position": "msg_id"}).withColumn("p_odd", F.round("p_odd", 6))
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return families.families(table(spark, folder, "affiliation_candidates"))
-
-
-def p2_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return families.family_changes(table(spark, folder, "channel_families"), families.families(table(spark, folder, "affiliation_candidates")))
-
-
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return references.heavy_channels(table(spark, folder, "edges"))
 
@@ -38,22 +30,6 @@ def p3_target_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return references.kinds_referred_to(table(spark, folder, "edges"), table(spark, folder, "channels"))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return quantiles.wrong_medians(table(spark, folder, "cited_posts"), table(spark, folder, "channel_scorecard"))
-
-
-def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Views of all posts of both tables: sketches of either, combined."""
-    cited = table(spark, folder, "cited_posts").select("channel_id", "msg_id", "views")
-    raw = table(spark, folder, "raw_messages")
-    views = F.from_json("payload", "`_` string, views bigint")
-    fetched = raw.select("channel_id", "msg_id", "fetched_at", views.alias("p")).where("p._ = 'Message'").select("channel_id", "msg_id", F.col("p.views").alias("views"), "fetched_at")
-    last = fetched.groupBy("channel_id", "msg_id").agg(F.max(F.struct("fetched_at", "views")).alias("m")).select("channel_id", "msg_id", F.col("m.views").alias("views"))
-    both = cited.groupBy("channel_id", "msg_id").agg(F.max("views").alias("cited")).join(last, ["channel_id", "msg_id"], "full")
-    posts = both.select("channel_id", "msg_id", F.coalesce("cited", "views").alias("views"))
-    return quantiles.percentiles(posts).withColumnRenamed("source", "channel_id")
-
-
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_history(spark, folder).select("channel_id", "attr", "valid_from_s")
 
@@ -62,7 +38,7 @@ def p6_history(spark: SparkSession, folder: str) -> DataFrame:
     return history.channel_history(table(spark, folder, "raw_channels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p2_found, p2_changes, p3_found, p3_references, p3_target_kinds, p5_found, p5_percentiles, p6_found, p6_history)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p3_found, p3_references, p3_target_kinds, p6_found, p6_history)}
 
 BARE = "case when {0} < -1000000000000 then -{0} - 1000000000000 else {0} end"
 
@@ -108,16 +84,10 @@ history as (
 
 ORACLES = {
     "p1_found": f"with posts as {POSTS} {ODD}",
-    "p2_found": f"with recursive {PAIRS} select * from fresh",
-    "p2_changes": f"""with recursive {PAIRS}, o as (select distinct {BARE.format("channel_id")} channel_id, {BARE.format("family_key")} old_key from channel_families)
-select coalesce(o.channel_id, f.channel_id) channel_id, old_key, f.family_key new_key, case when old_key is null then 'added' when f.family_key is null then 'removed' else 'moved' end change
-from o full join fresh f on o.channel_id = f.channel_id where old_key is distinct from f.family_key""",
     "p3_found": f"{COUNTS} select side, channel_id from w where sh >= 0.02",
     "p3_references": f'{COUNTS} select side, channel_id, refs, forwards, round(sh, 9) "share", sh >= 0.02 heavy from w',
     "p3_target_kinds": f"""with {EDGES}, k as (select {BARE.format("tg_id")} d, min(kind) kind_of_target from channels where kind is not null group by 1)
 select s src_channel_id, kind_of_target, count(*)::bigint refs from e join k using (d) group by 1, 2""",
-    "p5_found": """with m as (select channel_id, median(v) m from (select channel_id, msg_id, max(views)::double v from cited_posts group by all) where v is not null group by 1)
-select distinct tg_id from channel_scorecard join m on channel_id = tg_id where median_views is null or isnan(median_views) or abs(median_views - m) > 0.2 * abs(m)""",
     "p6_found": f"with {SNAPSHOTS} select channel_id, attr, valid_from_s from history",
     "p6_history": f"with {SNAPSHOTS} select * from history",
 }
