@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import json
+import math
 from datetime import datetime, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -21,16 +23,37 @@ def plain(units):
         for t, known, v in own:
             v = v if known else None
             if not versions or versions[-1][0] != v:
-                versions.append((v, t))
-        ends = [t for _, t in versions[1:]] + [None]
-        out += [(*key, v, t, end) for (v, t), end in zip(versions, ends)]
+                versions.append([v, t, t, 0])
+            versions[-1][2:] = t, versions[-1][3] + 1
+        ends = [v[1] for v in versions[1:]] + [None]
+        out += [(*key, v, t, end, seen, n) for (v, t, seen, n), end in zip(versions, ends)]
     return sorted(out, key=lambda row: tuple((v is None, v) for v in row))
 
 
-@given(st.lists(st.booleans(), min_size=1, max_size=200))
-def test_pair_rounds_leave_heads_where_runs_begin(joined):
-    joined[0] = False
-    assert history.pair_rounds(np.array(joined)).tolist() == [not j for j in joined]
+def unit_runs(values):
+    n = len(values)
+    return pd.DataFrame({"attr": ["a"] * n, "entity": np.ones(n, dtype="int64"), "value": np.array(values, dtype=object), "since": np.arange(n), "seen": np.arange(n), "units": np.ones(n, dtype="int64")})
+
+
+def run_list(runs):
+    return list(runs[["value", "since", "seen", "units"]].itertuples(index=False, name=None))
+
+
+@given(st.lists(st.sampled_from(["x", "y", None]), min_size=1, max_size=200), st.lists(st.integers(1, 199), max_size=6))
+def test_reduction_is_right_logarithmic_and_associative(values, cuts):
+    runs, _, rounds = history.reduce_runs(unit_runs(values))
+    expected = []
+    for t, v in enumerate(values):
+        if expected and expected[-1][0] == v:
+            expected[-1] = (v, expected[-1][1], t, expected[-1][3] + 1)
+        else:
+            expected.append((v, t, t, 1))
+    assert run_list(runs) == expected
+    assert rounds == max(0, math.ceil(math.log2(len(values))))
+    # the same in other brackets: the runs of parts, reduced again
+    bounds = [0, *sorted({c for c in cuts if c < len(values)}), len(values)]
+    parts = [history.reduce_runs(unit_runs(values).iloc[a:b].reset_index(drop=True))[0] for a, b in zip(bounds[:-1], bounds[1:])]
+    assert run_list(history.reduce_runs(pd.concat(parts, ignore_index=True))[0]) == expected
 
 
 @pytest.mark.parametrize("seed", [0, 1, 2])
@@ -46,7 +69,7 @@ def test_versions_over_partitions(spark, rows, seed):
 
 def test_one_value_over_all_partitions(spark, rows):
     units = [(1, "a", t, "same") for t in range(500)]
-    assert rows(history.versions(spark.createDataFrame(units, UNIT))) == [(1, "a", "same", 0, None)]
+    assert rows(history.versions(spark.createDataFrame(units, UNIT))) == [(1, "a", "same", 0, None, 499, 500)]
 
 
 def payload(i, **values):

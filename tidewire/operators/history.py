@@ -1,8 +1,10 @@
 """Histories of changing attributes by tree-reduction coalescing.
 
-Each snapshot is a unit interval of (entity, attribute, value). Neighbouring runs of intervals merge pairwise where
-entity, attribute and value agree, block sizes doubling each round: first inside each range partition (an entity with
-a third of all snapshots covers several), then over the partitions' first and last runs, one small row a partition.
+Each snapshot is a unit interval of (attribute, entity, value): a run with a start, the moment it was last seen and a count.
+Blocks of neighbouring runs merge pairwise, block sizes doubling each round; where the last run of the left block and the
+first of the right one agree in attribute, entity and value they become one interval. Merging is associative, so the runs of
+a batch, of a partition (an entity with a third of all snapshots covers several) and of the partitions' ends all go through
+the same reduction.
 """
 
 from __future__ import annotations
@@ -19,119 +21,163 @@ from tidewire.session import materialise
 
 PAYLOAD = "full_chat struct<id: bigint, about: string>, chats array<struct<id: bigint, title: string, username: string>>, broken string"
 ATTRIBUTES = ("username", "title", "about")
+KEYS = ["attr", "entity", "value"]
 
 
-def pair_rounds(joined: np.ndarray) -> np.ndarray:
-    """Heads of runs: joined[i] says that unit i continues unit i - 1. Blocks of 1, 2, 4, ... units merge pairwise."""
-    head = np.ones(len(joined), dtype=bool)
-    size = 1
-    while size < len(joined):
-        seams = slice(size, None, 2 * size)  # where the right block of each pair begins
-        head[seams] &= ~joined[seams]
-        size *= 2
-    return head
+def reduce_runs(runs: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
+    """Coalesce neighbouring runs (attr, entity, value, since, seen, units) that agree: the runs left, which rows they are, the rounds.
+
+    Every round halves the number of blocks; only the seams between the two blocks of a pair are looked at.
+    """
+    keys = [runs[k].to_numpy(dtype=object if k != "entity" else None) for k in KEYS]
+    seen, units = runs["seen"].to_numpy().copy(), runs["units"].to_numpy().copy()
+    alive = np.ones(len(runs), dtype=bool)
+    first = last = np.arange(len(runs))
+    rounds = 0
+    while len(first) > 1:
+        even = len(first) // 2 * 2
+        left, right, end = last[0:even:2], first[1:even:2], last[1:even:2].copy()
+        same = np.ones(len(left), dtype=bool)
+        for k in keys:
+            same &= k[left] == k[right]
+        into, gone = left[same], right[same]
+        alive[gone] = False
+        seen[into] = seen[gone]
+        units[into] += units[gone]
+        single = same & (end == right)  # the right block was one run, which is now part of the left one
+        end[single] = left[single]
+        first, last = np.append(first[0:even:2], first[even:]), np.append(end, last[even:])
+        rounds += 1
+    return runs.assign(seen=seen, units=units)[alive], np.flatnonzero(alive), rounds
+
+
+RUNS = "pid int, seq bigint, attr string, entity bigint, value string, since bigint, seen bigint, units bigint"
 
 
 def coalesce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of one sorted partition; memory holds one batch, and the run that reaches over its end."""
-    last = None
+    """Runs of one sorted partition, numbered within their attribute; memory holds one batch and the run that reaches over its end."""
+    held, pid, attr, at = None, 0, None, 0
+
+    def numbered(runs: pd.DataFrame) -> pd.DataFrame:
+        nonlocal attr, at
+        name = runs["attr"].to_numpy(dtype=object)
+        seq = np.empty(len(runs), dtype="int64")
+        cuts = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(runs)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            at = at if name[i] == attr else 0
+            seq[i:j] = np.arange(at, at + j - i)
+            attr, at = name[i], at + j - i
+        return runs.assign(pid=np.int32(pid), seq=seq)[[c.split()[0] for c in RUNS.split(", ")]]
+
     for pdf in frames:
         if not len(pdf):
             continue
+        pid = int(pdf["pid"].iloc[0])
         plain = pdf["value"].to_numpy(dtype=object)
         value = np.array([v if v is None or v.isascii() else unicodedata.normalize("NFC", v) for v in plain], dtype=object)
-        entity, attr, pid = pdf["entity"].to_numpy(), pdf["attr"].to_numpy(dtype=object), pdf["pid"].to_numpy()
-        joined = np.zeros(len(pdf), dtype=bool)
-        joined[1:] = (entity[1:] == entity[:-1]) & (attr[1:] == attr[:-1]) & (value[1:] == value[:-1])
-        head = pair_rounds(joined)
-        head[0] = last != (entity[0], attr[0], value[0])
-        last = (entity[-1], attr[-1], value[-1])
-        yield pd.DataFrame({"pid": pid[head], "entity": entity[head], "attr": attr[head], "value": value[head], "valid_from_s": pdf["at"].to_numpy()[head]})
+        unit = pd.DataFrame({"attr": pdf["attr"], "entity": pdf["entity"], "value": value, "since": pdf["at"], "seen": pdf["at"], "units": np.ones(len(pdf), dtype="int64")})
+        runs, _, _ = reduce_runs(unit if held is None else pd.concat([held, unit], ignore_index=True))
+        held = runs.iloc[-1:]
+        if len(runs) > 1:
+            yield numbered(runs.iloc[:-1])
+    if held is not None:
+        yield numbered(held)
 
 
-RUNS = "pid int, entity bigint, attr string, value string, valid_from_s bigint"
+ENDS = RUNS + ", runs bigint"
 
 
-def edges_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The first, second and last run of a partition, and how many there are."""
-    head, n = [], 0
+def ends_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first, second and last run of each attribute of a partition, and how many there are: the most that its neighbours need."""
+    kept: dict[str, list] = {}
     for pdf in frames:
-        if len(pdf):
-            n += len(pdf)
-            head = [*head, *pdf.head(2).to_dict("records")][:2]
-            last = pdf.iloc[-1].to_dict()
-    if n:
-        yield pd.DataFrame([r | {"place": p, "n": n} for p, r in zip(("first", "second", "last"), [head[0], head[-1], last])])
-
-
-def seams(rows: list[dict]) -> dict[int, tuple[bool, int | None]]:
-    """For each partition: whether its first run continues the one before, and where its last run ends."""
-    parts: dict[int, dict] = {}
-    for r in rows:
-        parts.setdefault(r["pid"], {})[r["place"]] = r
-    pids = sorted(parts)
-    same = lambda a, b: all(a[k] == b[k] for k in ("entity", "attr", "value"))
-    joined = np.array([i > 0 and same(parts[pids[i - 1]]["last"], parts[p]["first"]) for i, p in enumerate(pids)], dtype=bool)
-    head = pair_rounds(joined) if len(pids) else joined
-    if len(pids):
-        head[0] = True
-    out: dict[int, tuple[bool, int | None]] = {}
-    following = None  # the next run that stays, as (entity, attr, from)
-    for i in range(len(pids) - 1, -1, -1):
-        p = parts[pids[i]]
-        key = (p["last"]["entity"], p["last"]["attr"])
-        out[pids[i]] = (not head[i], following[2] if following and following[:2] == key else None)
-        first = p["first"] if head[i] else p["second"] if p["first"]["n"] > 1 else None
-        following = (first["entity"], first["attr"], first["valid_from_s"]) if first else following
-    return out
-
-
-def close(around: dict[int, tuple[bool, int | None]]):
+        for attr, own in pdf.groupby("attr", sort=False):
+            few = own[own["seq"] < 2].to_dict("records")
+            start = [*kept.get(attr, []), *few][:2]
+            kept[attr] = [*start, own.iloc[-1].to_dict()]
+    if kept:
+        yield pd.DataFrame([r | {"runs": x[-1]["seq"] + 1} for x in kept.values() for r in {r["seq"]: r for r in x}.values()])
+
+
+SEAMS = "pid int, attr string, runs bigint, drop boolean, after bigint, seen_last bigint, units_last bigint"
+
+
+def seams(ends: pd.DataFrame) -> pd.DataFrame:
+    """For one attribute and each partition: whether its first run continues the one before, and how its last run goes on.
+
+    At most four rows a partition come together here: its ends and a gap, which keeps apart runs that are no neighbours.
+    """
+    ends = ends.sort_values(["pid", "seq"])
+    gaps = ends[(ends["seq"] == ends["runs"] - 1) & (ends["runs"] > 3)].assign(entity=np.iinfo("int64").min, seq=2)
+    gaps["value"] = "gap " + gaps["pid"].astype(str)
+    rows = pd.concat([ends, gaps]).sort_values(["pid", "seq"], kind="stable").reset_index(drop=True)
+    left, where, _ = reduce_runs(rows)
+    owner = np.searchsorted(where, np.arange(len(rows)), side="right") - 1  # the run left that each row is part of
+    entity, since = left["entity"].to_numpy(), left["since"].to_numpy()
+    seen, units = left["seen"].to_numpy(), left["units"].to_numpy()
+    stays = np.isin(np.arange(len(rows)), where)
+    out = []
+    last_row = rows.groupby("pid").tail(1).index.to_numpy()
+    first_row = rows.groupby("pid").head(1).index.to_numpy()
+    for a, b in zip(first_row, last_row):
+        k = owner[b]
+        after = int(since[k + 1]) if k + 1 < len(left) and entity[k + 1] == entity[k] else None
+        out.append((int(rows["pid"][a]), rows["attr"][a], int(rows["runs"][a]), not stays[a], after, int(seen[k]), int(units[k])))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in SEAMS.split(", ")]).astype({"after": "Int64"})
+
+
+HISTORY = "entity bigint, attr string, value string, valid_from_s bigint, valid_to_s bigint, last_seen_s bigint, snapshots bigint"
+
+
+def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Give every run its end: the start of the entity's next version, open for the last."""
 
-    def finish(pdf: pd.DataFrame, after: pd.DataFrame | None, end: int | None) -> pd.DataFrame:
-        rows = pd.concat([pdf, after]) if after is not None else pdf
-        key, attr, start = rows["entity"].to_numpy(), rows["attr"].to_numpy(dtype=object), rows["valid_from_s"].to_numpy()
-        to = np.full(len(pdf), None, dtype=object)
-        same = (key[1:] == key[:-1]) & (attr[1:] == attr[:-1])
-        to[: len(same)][same] = start[1:][same]
-        if after is None and end is not None:
-            to[-1] = end
-        return pdf.drop(columns="pid").assign(valid_to_s=pd.array(to, dtype="Int64"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, end, first = None, None, True
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            if first:
-                drop, end = around[int(pdf["pid"].iloc[0])]
-                pdf, first = pdf.iloc[int(drop) :], False
-                if not len(pdf):
-                    continue
-            if held is not None:
-                yield finish(held, pdf.iloc[:1], None)
-            held = pdf
-        if held is not None:
-            yield finish(held, None, end)
-
-    return run
-
-
-HISTORY = "entity bigint, attr string, value string, valid_from_s bigint, valid_to_s bigint"
+    def finish(rows: pd.DataFrame, n: int) -> pd.DataFrame:
+        attr, entity, since = rows["attr"].to_numpy(dtype=object), rows["entity"].to_numpy(), rows["since"].to_numpy()
+        to = pd.array(np.full(len(rows), None, dtype=object), dtype="Int64")
+        near = np.flatnonzero((attr[1:] == attr[:-1]) & (entity[1:] == entity[:-1]))
+        to[near] = since[near + 1]
+        last = (rows["seq"] == rows["runs"] - 1).to_numpy()
+        to[last] = rows["after"].astype("Int64").array[last]
+        out = pd.DataFrame({"entity": entity, "attr": attr, "value": rows["value"], "valid_from_s": since, "valid_to_s": to})
+        out["last_seen_s"] = np.where(last, rows["seen_last"], rows["seen"])
+        out["snapshots"] = np.where(last, rows["units_last"], rows["units"])
+        return out[:n][~((rows["seq"] == 0) & rows["drop"]).to_numpy(dtype=bool)[:n]]
+
+    held = None
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if len(rows) > 1:
+            yield finish(rows, len(rows) - 1)
+        held = rows.iloc[-1:].reset_index(drop=True)
+    if held is not None:
+        yield finish(held, 1)
+
+
+def placed_by_time(rows: DataFrame) -> DataFrame:
+    """Rows with entity and at, ranged by them, and the partition they are in; nothing above is evaluated before they move."""
+    known = rows.where("entity is not null and at is not null")
+    return known.repartitionByRange("entity", "at").withColumn("pid", F.spark_partition_id())
 
 
 def versions(units: DataFrame) -> DataFrame:
     """The history of units (entity bigint, attr string, at bigint, value string): one row a version, the last one open.
 
-    Snapshots of one moment are taken in the order of their values, so repeats merge; a null value is a version too;
-    units without entity, attribute or moment are left out; no units give no rows.
+    Also the moment each version was last seen and its number of snapshots. Snapshots of one moment are taken in the order
+    of their values, so repeats merge; a null value is a version too; units without entity, attribute or moment are left
+    out; no units give no rows; other columns are ignored. The attributes are few: columns of one kind of snapshot.
     """
-    rows = units.select("entity", "attr", "at", "value").where("entity is not null and attr is not null and at is not null")
-    ordered = rows.repartitionByRange("entity", "attr", "at").sortWithinPartitions("entity", "attr", "at", "value")
-    runs = materialise(ordered.withColumn("pid", F.spark_partition_id()).mapInPandas(coalesce, RUNS))
-    ends = [r.asDict() for r in runs.mapInPandas(edges_of, RUNS + ", place string, n bigint").collect()]  # three rows a partition
-    return runs.mapInPandas(close(seams(ends)), HISTORY)
+    return coalesced(placed_by_time(units.select("entity", "attr", "at", "value").where("attr is not null")))
+
+
+def coalesced(placed: DataFrame) -> DataFrame:
+    """The history of units that ``placed_by_time`` has put in place."""
+    ordered = placed.select("pid", "attr", "entity", "at", "value").sortWithinPartitions("attr", "entity", "at", "value")
+    runs = materialise(ordered.mapInPandas(coalesce, RUNS))
+    around = runs.mapInPandas(ends_of, ENDS).groupBy("attr").applyInPandas(seams, SEAMS)  # a row a partition and attribute
+    return runs.join(F.broadcast(around), ["pid", "attr"]).mapInPandas(close, HISTORY)
 
 
 def blank_as_null(c):
@@ -141,20 +187,22 @@ def blank_as_null(c):
 
 
 def channel_snapshots(raw: DataFrame) -> DataFrame:
-    """Attribute values of the fetches that did not fail, as units.
+    """Attribute values of the fetches that did not fail, as units in place: documents move once and are parsed after that.
 
     A fetch fails where the payload is null, cut off, without a channel record, or another channel's record.
     """
     options = {"columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}
-    parsed = raw.select(F.col("channel_id").cast("long").alias("entity"), F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("us"), F.from_json("payload", PAYLOAD, options).alias("p"))
+    at = F.floor(F.unix_micros(F.col("fetched_at").cast("timestamp")) / 1_000_000).cast("long")
+    placed = placed_by_time(raw.select(F.col("channel_id").cast("long").alias("entity"), at.alias("at"), "payload").where("payload is not null"))
+    parsed = placed.select("pid", "entity", "at", F.from_json("payload", PAYLOAD, options).alias("p"))
     chat = F.get("p.chats", F.lit(0))
-    good = parsed.where("p is not null and p.broken is null and p.full_chat.id = entity and us is not null").where(chat.isNull() | chat["id"].isNull() | (chat["id"] == F.col("entity")))
+    good = parsed.where("p is not null and p.broken is null and p.full_chat.id = entity").where(chat.isNull() | chat["id"].isNull() | (chat["id"] == F.col("entity")))
     username = F.trim(F.regexp_replace(F.lower(blank_as_null(chat["username"])), r"^@+", ""))
     values = {"username": F.when(username != "", username), "title": blank_as_null(chat["title"]), "about": blank_as_null(F.col("p.full_chat.about"))}
-    wide = good.select("entity", F.floor(F.col("us") / 1_000_000).cast("long").alias("at"), *[v.alias(k) for k, v in values.items()])
-    return wide.selectExpr("entity", "at", "stack(3, 'username', username, 'title', title, 'about', about) as (attr, value)")
+    wide = good.select("pid", "entity", "at", *[v.alias(k) for k, v in values.items()])
+    return wide.selectExpr("pid", "entity", "at", "stack(3, 'username', username, 'title', title, 'about', about) as (attr, value)")
 
 
 def channel_history(raw: DataFrame) -> DataFrame:
-    """channel_id, attr, value, valid_from_s, valid_to_s of every version of username, title and about."""
-    return versions(channel_snapshots(raw)).withColumnRenamed("entity", "channel_id")
+    """channel_id, attr, value, valid_from_s, valid_to_s, last_seen_s, snapshots of every version of username, title and about."""
+    return coalesced(channel_snapshots(raw)).withColumnRenamed("entity", "channel_id")

@@ -77,15 +77,19 @@ units as (
   select channel_id, at_s, 'username' attr, nullif(trim(regexp_replace(lower(trim(regexp_replace(u, '[\s\x{a0}]+', ' ', 'g'))), '^@+', '')), '') val from good
   union all select channel_id, at_s, 'title', nfc_normalize(nullif(trim(regexp_replace(t, '[\s\x{a0}]+', ' ', 'g')), '')) from good
   union all select channel_id, at_s, 'about', nfc_normalize(nullif(trim(regexp_replace(a, '[\s\x{a0}]+', ' ', 'g')), '')) from good),
+numbered as (select *, row_number() over () rid from units),
 heads as (
-  select *, row_number() over w = 1 or val is distinct from lag(val) over w head from units window w as (partition by channel_id, attr order by at_s, val)),
+  select *, row_number() over w = 1 or val is distinct from lag(val) over w head from numbered window w as (partition by channel_id, attr order by at_s, val nulls first, rid)),
+islands as (select *, sum(head::int) over (partition by channel_id, attr order by at_s, val nulls first, rid) k from heads),
 history as (
-  select channel_id, attr, val "value", at_s valid_from_s, lead(at_s) over (partition by channel_id, attr order by at_s, val) valid_to_s from heads where head)"""
+  select channel_id, attr, any_value(val) "value", min(at_s) valid_from_s, lead(min(at_s)) over (partition by channel_id, attr order by k) valid_to_s, max(at_s) last_seen_s, count(*)::bigint snapshots
+  from islands group by channel_id, attr, k)"""
 
 ORACLES = {
     "p1_found": f"with posts as {POSTS} {ODD}",
     "p3_found": f"{COUNTS} select side, channel_id from w where sh >= 0.02",
-    "p3_references": f'{COUNTS} select side, channel_id, refs, forwards, round(sh, 9) "share", sh >= 0.02 heavy from w',
+    "p3_references": f"""{COUNTS}, inv as (select {BARE.format("tg_id")} channel_id, min(kind) kind, true known from channels where tg_id is not null group by 1)
+select side, channel_id, kind, coalesce(known, false) known, refs, forwards, round(sh, 9) "share", sh >= 0.02 heavy from w left join inv using (channel_id)""",
     "p3_target_kinds": f"""with {EDGES}, k as (select {BARE.format("tg_id")} d, min(kind) kind_of_target from channels where kind is not null group by 1)
 select s src_channel_id, kind_of_target, count(*)::bigint refs from e join k using (d) group by 1, 2""",
     "p6_found": f"with {SNAPSHOTS} select channel_id, attr, valid_from_s from history",
