@@ -24,28 +24,15 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 #: The public pattern that splits text into words before the merges (fixed value of the encoding).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: One thread a worker, bounded memory and no spilling into the worker's folder.
+DUCKDB = {"threads": 1, "memory_limit": "600MB", "temp_directory": ""}
 #: Words a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 200_000
-#: Bytes above which a word is contracted by the query for long words.
-LONG = 48
 
+#: A step contracts the leftmost pair of least rank of each word and, as the same pair stays the least until none is left,
+#: its further occurrences from the left without overlap. A pair that a contraction makes holds the new token and always
+#: ranks after it (``Vocabulary`` checks that), so the result is that of leftmost contractions one by one, at every length.
 CONTRACT = """
-WITH RECURSIVE state(word, toks) USING KEY (word) AS (
-  SELECT word, toks FROM words
-  UNION
-  SELECT word, list_concat(list_append(toks[1 : best.pos - 1], best.id), toks[best.pos + 2 :])
-  FROM (
-    SELECT p.word, any_value(p.toks) AS toks, min({'id': m.id, 'pos': p.pos}) AS best
-    FROM (SELECT word, toks, unnest(range(1, len(toks))) AS pos FROM state) p
-    JOIN merges m ON m.l = p.toks[p.pos] AND m.r = p.toks[p.pos + 1]
-    GROUP BY p.word
-  )
-) SELECT word, toks FROM state ORDER BY word
-"""
-
-#: For words above LONG bytes a step contracts every occurrence of the least pair, from the left and without overlap, at
-#: once. A pair that a contraction makes always ranks after it, so the result is that of leftmost contractions one by one.
-CONTRACT_LONG = """
 WITH RECURSIVE state(word, toks) USING KEY (word) AS (
   SELECT word, toks FROM words
   UNION
@@ -117,23 +104,17 @@ class Encoder:
 
         self.pattern, self.single, self.remembered = regex.compile(PATTERN), vocabulary.single, remembered
         self.known: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config=DUCKDB)
         merges = pa.table({"l": vocabulary.left, "r": vocabulary.right, "id": vocabulary.merged})  # noqa: F841
         self.db.register("given", merges)
         self.db.execute("create table merges as select * from given")
         self.db.unregister("given")
 
     def learn(self, words: list[str]) -> None:
-        """Encode words and remember them: the short ones together, the long ones together."""
-        length = [len(w.encode("utf-8", "surrogatepass")) for w in words]
-        for query, some in ((CONTRACT, [w for w, n in zip(words, length) if n <= LONG]), (CONTRACT_LONG, [w for w, n in zip(words, length) if n > LONG])):
-            if some:
-                self.contract(query, some)
-
-    def contract(self, query: str, words: list[str]) -> None:
+        """Encode words and remember them."""
         tokens = pa.array([self.single[np.frombuffer(w.encode("utf-8", "surrogatepass"), dtype=np.uint8)] for w in words], pa.list_(pa.int32()))
         self.db.register("words", pa.table({"word": pa.array(range(len(words)), pa.int32()), "toks": tokens}))
-        done = self.db.sql(query).to_arrow_table()["toks"].combine_chunks()
+        done = self.db.sql(CONTRACT).to_arrow_table()["toks"].combine_chunks()
         self.db.unregister("words")
         flat, ends = np.ascontiguousarray(done.flatten().to_numpy(zero_copy_only=False), dtype="int32"), done.offsets.to_numpy()
         ends = ends - ends[0]
@@ -192,7 +173,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", folder: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        db = duckdb.connect(config=DUCKDB)
         table = vocabulary.value.bytes
         db.register("given", pa.table({"id": pa.array(list(table), pa.int32()), "hex": [b.hex() for b in table.values()]}))
         db.execute("create table vocabulary as select * from given")
