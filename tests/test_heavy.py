@@ -21,6 +21,13 @@ def edges(seed=0, n=1500):
     return out
 
 
+CHANNELS = [(7, "author", 1), (7, "aggregator", 2), (-1000000000009, None, 3), (120, "media", 4), (None, "media", 5)]
+
+
+def channels(spark):
+    return spark.createDataFrame(CHANNELS, "tg_id bigint, kind string, task int")
+
+
 def expected(data):
     keys = {(s, m, k, d, x) for s, m, k, d, x, *_ in data}
     out = {}
@@ -34,19 +41,25 @@ def expected(data):
 
 def test_counts_equal_plain_counts(spark):
     data = [*edges(), (None, 1, "forward", 5, 1, 0, 0), (5, 1, "forward", None, 1, 0, 0)]
-    got = {(r["side"], r["channel_id"]): (r["refs"], r["forwards"]) for r in references.reference_counts(spark.createDataFrame(data, EDGE)).collect()}
+    got = {(r["side"], r["channel_id"]): (r["refs"], r["forwards"]) for r in references.reference_counts(spark.createDataFrame(data, EDGE), channels(spark)).collect()}
     assert got == expected(data)
 
 
+def test_inventory_rows_reach_every_shard(spark, rows):
+    got = references.reference_counts(spark.createDataFrame(edges(), EDGE), channels(spark)).where("channel_id in (7, 9, 120, 121)")
+    assert rows(got, "channel_id", "kind", "known", "side")[:4] == [(7, "aggregator", True, "dst"), (9, None, True, "src"), (120, "media", True, "dst"), (120, "media", True, "src")]
+    assert rows(got.where("channel_id = 121"), "kind", "known") == [(None, False), (None, False)]
+
+
 def test_heavy_channels_and_both_id_forms(spark, rows):
     data = [(1100000001 if i % 2 else -1001100000001, i, "forward", 1100000100 + i, 1, 0, 0) for i in range(60)]
     data += [(1100000001, i, "forward", 1100000100 + i, 1, 0, 0) for i in range(60)]
-    found = references.heavy_channels(spark.createDataFrame(data, EDGE), 0.5)
+    found = references.heavy_channels(spark.createDataFrame(data, EDGE), channels(spark), 0.5)
     assert rows(found) == [("src", 1100000001)]
 
 
 def test_empty(spark, rows):
-    assert rows(references.reference_counts(spark.createDataFrame([], EDGE))) == []
+    assert rows(references.reference_counts(spark.createDataFrame([], EDGE), channels(spark).limit(0))) == []
 
 
 @given(st.dictionaries(st.integers(0, 50), st.integers(100, 10_000), max_size=12), st.lists(st.integers(0, 50), min_size=8, max_size=64), st.integers(1, 8))
@@ -73,5 +86,7 @@ def test_join_equals_plain_join(spark):
     plan = heavy.plan_loads(df, "dst_channel_id", 4)
     got = heavy.fragment_join(df, names, "dst_channel_id", ["src_channel_id", "msg_id"], plan)
     plain = df.join(names, "dst_channel_id")
+    kept = heavy.fragment_join(df, names, "dst_channel_id", ["src_channel_id", "msg_id"], plan, "left")
+    assert kept.count() == df.where("dst_channel_id is not null").count()
     assert got.count() == plain.count()
     assert got.select(*plain.columns).exceptAll(plain).count() == 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.session import materialise
@@ -72,29 +72,38 @@ def plan_loads(df: DataFrame, key: str, tasks: int) -> Plan:
     return pack(heavy, light, tasks)
 
 
-def shards_of(key: Column, plan: Plan) -> Column:
-    """The tasks that hold rows of a key: its shards, or the one task of its bucket."""
-    light = F.array(F.get(F.array(*[F.lit(t) for t in plan.light]), F.pmod(F.xxhash64(key), F.lit(len(plan.light))).cast("int")))
-    if not plan.heavy:
-        return light
-    table = F.create_map(*[x for k, ts in plan.heavy.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in ts]))])
-    return F.coalesce(F.element_at(table, key), light)
+def plan_tables(spark: SparkSession, plan: Plan, key: str) -> tuple[DataFrame, DataFrame]:
+    """The plan as two tables of a few rows a task: key and its tasks, bucket and its task."""
+    kind = f"{key} bigint, heavy_tasks array<int>"
+    return spark.createDataFrame(list(plan.heavy.items()), kind), spark.createDataFrame(list(enumerate(plan.light)), "bucket int, light_task int")
+
+
+def shards_of(df: DataFrame, key: str, plan: Plan) -> DataFrame:
+    """Rows with a key, and the tasks that hold rows of it: its shards, or the one task of its bucket.
+
+    Both tables of the plan are bounded by the number of tasks, whatever the data, so they are broadcast.
+    """
+    heavy, light = plan_tables(df.sparkSession, plan, key)
+    rows = df.where(F.col(key).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(len(plan.light))).cast("int"))
+    rows = rows.join(F.broadcast(heavy), key, "left").join(F.broadcast(light), "bucket")
+    return rows.withColumn("shards", F.coalesce("heavy_tasks", F.array("light_task"))).drop("bucket", "heavy_tasks", "light_task")
 
 
 def fragment(df: DataFrame, key: str, by: list[str], plan: Plan) -> DataFrame:
     """Rows with a key, on the tasks of the plan; rows equal in ``by`` stay together. Adds the column ``task``."""
-    shards = shards_of(F.col(key), plan)
     shard = F.pmod(F.xxhash64(*by), F.size("shards").cast("long")).cast("int")
-    placed = df.where(F.col(key).isNotNull()).withColumn("shards", shards).withColumn("task", F.get("shards", shard)).drop("shards")
+    placed = shards_of(df, key, plan).withColumn("task", F.get("shards", shard)).drop("shards")
     return placed.repartitionById(plan.tasks, F.col("task"))
 
 
 def replicate(df: DataFrame, key: str, plan: Plan) -> DataFrame:
     """The matching side: each row goes only to the tasks that hold shards of its key. Adds the column ``task``."""
-    placed = df.where(F.col(key).isNotNull()).withColumn("task", F.explode(F.array_distinct(shards_of(F.col(key), plan))))
+    placed = shards_of(df, key, plan).withColumn("task", F.explode(F.array_distinct("shards"))).drop("shards")
     return placed.repartitionById(plan.tasks, F.col("task"))
 
 
-def fragment_join(left: DataFrame, right: DataFrame, key: str, by: list[str], plan: Plan) -> DataFrame:
-    """Inner join of a skewed left side with one row a key on the right; every task reads its even share."""
-    return fragment(left, key, by, plan).join(replicate(right, key, plan).hint("shuffle_hash"), ["task", key])
+def fragment_join(left: DataFrame, right: DataFrame, key: str, by: list[str], plan: Plan, how: str = "inner") -> DataFrame:
+    """Inner or left join of a skewed left side with one row a key on the right; every task reads its even share."""
+    if how not in ("inner", "left"):
+        raise ValueError("the left side may be kept, the right one not")
+    return fragment(left, key, by, plan).join(replicate(right, key, plan).hint("shuffle_hash"), ["task", key], how)

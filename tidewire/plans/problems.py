@@ -19,11 +19,11 @@ def p1_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return references.heavy_channels(table(spark, folder, "edges"))
+    return references.heavy_channels(table(spark, folder, "edges"), table(spark, folder, "channels"))
 
 
 def p3_references(spark: SparkSession, folder: str) -> DataFrame:
-    return references.reference_counts(table(spark, folder, "edges")).withColumn("share", F.round("share", 9))
+    return references.reference_counts(table(spark, folder, "edges"), table(spark, folder, "channels")).withColumn("share", F.round("share", 9))
 
 
 def p3_target_kinds(spark: SparkSession, folder: str) -> DataFrame:
