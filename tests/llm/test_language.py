@@ -52,6 +52,44 @@ def test_no_sentence(text):
     assert sentences(text) == []
 
 
+@pytest.mark.parametrize("text", [
+    "We waited for hours; nobody came to open the door.", "It cost us about $5 and then we all went home.", "我们昨天在学校见面了。", "昨日は学校で友達に会いました。", "التقينا أمس في المدرسة",
+    "נפגשנו אתמול בבית הספר.", "เราพบกันที่โรงเรียนเมื่อวานนี้", "He said (and all of us heard him say it) nothing.", "for all of us (and there were many) it was late", "print runs were small in those days",
+])
+def test_sentences_of_any_script_and_with_signs(text):
+    assert len(sentences(text)) >= 1
+
+
+def test_long_quotations_stay_and_short_ones_go():
+    text = "Das Buch heißt «The long way home» und ist gut. «We have all been waiting here for hours»"
+    (_, _, a), (_, _, b) = sentences(text)
+    assert "long way" not in a and b.startswith("We have") or "We have all been waiting" in b
+
+
+def test_unspaced_sentences_end_at_their_stop():
+    assert [s for *_, s in sentences("我们昨天在学校见面了。今天天气很好我们去公园玩。")] == ["我们昨天在学校见面了。", "今天天气很好我们去公园玩。"]
+
+
+@pytest.mark.parametrize("text", ["docker run --rm -p 80:80 demo/web:1.0", "SELECT count(*) FROM jobs WHERE state = 'late';", "let total = items.reduce((a, b) => a + b, 0);", "for i in range(10):", "pip install tinyqueue==0.1.0"])
+def test_code_is_no_sentence(text):
+    assert sentences(text) == []
+
+
+def test_rare_languages_are_classes_and_wrong_labels_are_not():
+    rng = np.random.default_rng(4)
+    labels = ["en"] * 900 + ["de"] * 900 + ["ru"] * 6 + ["nl"] * 12
+    true = ["en"] * 900 + ["de"] * 900 + ["ru"] * 6 + ["en", "de"] * 6
+    texts = [" ".join(sentence(x, rng) for _ in range(3)) for x in true]
+    assert language.supported(texts, labels, NetParams()) == ["de", "en", "ru"]
+
+
+def test_saved_network_reads_alike(net, tmp_path):
+    net.save(str(tmp_path / "net.npz"))
+    again = language.ByteNet.load(str(tmp_path / "net.npz"), net.params)
+    text = [sentence(x, np.random.default_rng(2)) for x in PARTS]
+    assert Reader(again).read(text) == Reader(net).read(text)
+
+
 @pytest.mark.parametrize("text", ["¿Qué os parece?", "Qu'en pensez-vous ?", "[FR] Qu'en pensez-vous ?", "СОХРАНИТЕ ПОСТ, ЧТОБЫ НЕ ПОТЕРЯТЬ."])
 def test_short_sentences(text):
     assert len(sentences(text)) == 1

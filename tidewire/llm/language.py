@@ -1,7 +1,7 @@
 """Languages of texts and of their segments by a byte convolutional network.
 
 The network (byte embedding, filters of several widths, max pooling, softmax) is trained in numpy on a bounded sample of
-labelled texts. Texts are split into sentences without links, mentions, tags, code and quoted or bracketed phrases; each
+labelled texts. Texts are split into sentences without links, mentions, tags, code and short quoted or bracketed phrases; each
 sentence is read whole, as fixed-length byte windows, and takes the language of least mean log loss over its windows.
 Sentences that repeat (digits aside) within a worker are read once.
 """
@@ -32,8 +32,13 @@ UNKNOWN = ("", "und", "unknown", "none", "null", "mul", "zxx")
 
 FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 JUNK = re.compile(r"</?[a-zA-Z][^<>\n]*>|`[^`\n]*`|\b(?:https?|ftp|tg)://\S+|\bwww\.\S+|\S+@\S+|[@#][\w/]+|[“«„][^”»“\n]{0,200}[”»“]|\([^()\n]{0,200}\)|\*\*|__|~~")
-CODE = re.compile(r"[={}<>|\\$;]|--|\w\(|::|^\s*(?:print|for|class|def|import|return|SELECT|select)\b.*[:()*]|\w\.\w+\(|: int\b")
-BREAK = re.compile(r"(?<=[.!?…])\s+|\n+")
+#: A quoted or bracketed stretch of so many words is a sentence of its own and stays.
+PHRASE = 6
+#: Signs of code, of which a line needs two, and one for every five words; a lone dollar or semicolon is prose.
+CODE = re.compile(r"[={}\\~<>|]|(?<![\w-])--?[A-Za-z]|\w\(|::|\w\.\w+\(|;\s*$|\$[A-Za-z_{(]|[A-Za-z]:\d")
+BREAK = re.compile(r"(?<=[.!?…؟۔।])\s+|(?<=[。！？])\s*|\n+")
+#: Scripts written without spaces: their letters count, two for a word.
+UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿]")
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
 TAG = re.compile(r"^\s*(?:>\s*)*(?:[-–—•*]\s*)?\[[A-Za-z-]{2,7}\]\s*")
@@ -42,7 +47,11 @@ SIGNS = re.compile(r"^[^\w¿¡—–,:-]+")
 
 @dataclass(frozen=True)
 class NetParams:
-    """``sample`` bounds the labelled rows that the network is fitted on, ``windows`` their windows; ``share`` is the least share of a class."""
+    """``sample`` bounds the labelled rows that the network is fitted on, ``windows`` their windows.
+
+    A language under ``share`` of the sample is a class only if its texts resemble each other more than they do another
+    class; at least ``least`` rows make a class.
+    """
 
     length: int = 96
     embed: int = 8
@@ -51,6 +60,7 @@ class NetParams:
     sample: int = 8_000
     windows: int = 21_000
     share: float = 0.01
+    least: int = 3
     epochs: int = 9
     batch: int = 128
     rate: float = 3e-3
@@ -58,23 +68,43 @@ class NetParams:
     confident: float = 0.7
 
 
+def word_count(piece: str) -> int:
+    """Words of a piece; in scripts without spaces two letters count as one."""
+    if piece.isascii():
+        return len(LETTERS.findall(piece))
+    unspaced = len(UNSPACED.findall(piece))
+    return len(LETTERS.findall(UNSPACED.sub(" ", piece) if unspaced else piece)) + unspaced // 2
+
+
+def is_code(piece: str, words: int) -> bool:
+    signs = len(CODE.findall(piece))
+    return signs >= 2 and 5 * signs >= words
+
+
 def is_sentence(piece: str) -> bool:
-    """Three words or more, begun like a sentence; what begins otherwise (or after a dash) needs six."""
-    n = len(LETTERS.findall(piece))
-    if n < 3 or CODE.search(piece):
+    """Three words or more, begun like a sentence (not by a small letter); what begins otherwise (or after a dash) needs six."""
+    n = word_count(piece)
+    if n < 3 or is_code(piece, n):
         return False
-    if n >= 6:
+    if n >= PHRASE:
         return True
     start = piece.lstrip(" \t>*#•·.0123456789)")
     if start[:1] in "—–-,:":
         return False
     first = LETTERS.search(start)
-    return bool(first) and first.group()[0].isupper()
+    return bool(first) and not first.group()[0].islower()
+
+
+def blank(m: re.Match) -> str:
+    """As many spaces as the match has characters; a long quoted or bracketed stretch stays."""
+    piece = m.group()
+    if piece[0] in "“«„(" and word_count(piece) >= PHRASE:
+        return piece
+    return " " * len(piece)
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, cleaned) of the full sentences of a text; positions are in characters of the text."""
-    blank = lambda m: " " * len(m.group())
     if "```" in text:
         text = FENCE.sub(blank, text)
     clean = JUNK.sub(blank, text)
@@ -112,6 +142,19 @@ class ByteNet:
         self.conv = f32(wide * params.embed, total) * self.mask / np.sqrt(wide * params.embed / 2)
         self.bias, self.out, self.top = np.zeros(total, "float32"), f32(total, len(classes)) * 0.1, np.zeros(len(classes), "float32")
 
+    def save(self, path: str) -> None:
+        """Keep the weights in a file, to read texts of later days without a new fit."""
+        with open(path, "wb") as f:
+            np.savez(f, classes=np.array(self.classes), **{n: getattr(self, n) for n in ("embed", "conv", "bias", "out", "top")})
+
+    @classmethod
+    def load(cls, path: str, params: NetParams) -> ByteNet:
+        with np.load(path) as kept:
+            net = cls([str(c) for c in kept["classes"]], params)
+            for n in ("embed", "conv", "bias", "out", "top"):
+                setattr(net, n, kept[n])
+        return net
+
     def columns(self, x: np.ndarray) -> np.ndarray:
         wide = max(self.params.widths)
         e = self.embed[x]
@@ -172,13 +215,54 @@ def as_bytes(rows: list[bytes], length: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, length)
 
 
-def train(texts: list[str], labels: list[str], params: NetParams = NetParams()) -> ByteNet:
-    """Fit on the sentences of labelled texts, drop the windows whose label the first fit contradicts, and fit again."""
-    counts: dict[str, int] = {}
+TRIGRAMS = 16_384
+#: How much nearer to its own label than to the next language a text of a rare language must lie.
+MARGIN = 1.06
+
+
+def profile(text: str) -> np.ndarray:
+    """Hashed character trigrams of the sentences of a text, damped, of length one."""
+    raw = np.frombuffer(" ".join(DIGITS.sub("0", s).lower() for _, _, s in sentences(text)).encode("utf-32-le", "replace"), dtype=np.uint32).astype("int64")
+    if len(raw) < 3:
+        return np.zeros(TRIGRAMS, "float32")
+    out = np.sqrt(np.bincount((raw[:-2] * 1_000_003 + raw[1:-1] * 10_007 + raw[2:]) % 1_000_033 % TRIGRAMS, minlength=TRIGRAMS))
+    return (out / np.linalg.norm(out)).astype("float32")
+
+
+def supported(texts: list[str], labels: list[str], params: NetParams, counts: dict[str, int] | None = None) -> list[str]:
+    """The languages that are classes: those with their share of all labels, and rarer ones whose texts belong together.
+
+    Texts of a rare language that is one lie nearer to the others of its label than to those of any language taken so far;
+    texts that only bear a wrong label do not. At least half of the rare label's texts must be of the first kind. ``counts``
+    are the labels of the whole table, where the sample does not keep their shares.
+    """
+    held: dict[str, int] = {}
     for label in labels:
-        counts[label] = counts.get(label, 0) + 1
-    least = max(2, params.share * len(labels))
-    classes = sorted(c for c, n in counts.items() if n >= least) or ["und"]
+        held[label] = held.get(label, 0) + 1
+    counts = counts or held
+    order = sorted((c for c, n in held.items() if n >= params.least), key=lambda c: (-counts.get(c, 0), c))
+    total = sum(counts.values())
+    sums = {c: np.zeros(TRIGRAMS, "float32") for c in order}
+    rare: dict[str, list[np.ndarray]] = {c: [] for c in order if counts.get(c, 0) < params.share * total}
+    for text, label in zip(texts, labels):
+        if label in sums:
+            v = profile(text)
+            sums[label] += v
+            if label in rare and v.any():
+                rare[label].append(v)
+    unit = lambda v: v / (np.linalg.norm(v) or 1.0)
+    kept = [c for c in order if c not in rare]
+    for c in (c for c in order if c in rare):
+        others = np.stack([unit(sums[x]) for x in kept]) if kept else np.zeros((1, TRIGRAMS), "float32")
+        own = sum(v @ unit(sums[c] - v) > MARGIN * (others @ v).max() for v in rare[c])
+        if len(rare[c]) >= params.least and 2 * own >= len(rare[c]):
+            kept.append(c)
+    return sorted(kept)
+
+
+def train(texts: list[str], labels: list[str], params: NetParams = NetParams(), counts: dict[str, int] | None = None) -> ByteNet:
+    """Fit on the sentences of labelled texts, drop the windows whose label the first fit contradicts, and fit again."""
+    classes = supported(texts, labels, params, counts) or ["und"]
     where = {c: i for i, c in enumerate(classes)}
     rows, y = [], []
     for text, label in zip(texts, labels):
@@ -278,14 +362,27 @@ def current_labels(labels: DataFrame) -> DataFrame:
 
 
 def fit_network(raw: DataFrame, labels: DataFrame, params: NetParams = NetParams()) -> ByteNet:
-    """Fit on at most ``params.sample`` labelled messages, those whose keys hash lowest and whose label names one language."""
-    key = F.xxhash64("channel_id", "msg_id")
-    some = labels.where("lang is not null").select("channel_id", "msg_id", label_names(F.col("lang")).alias("names"), key.alias("h"))
-    some = some.where(F.size("names") == 1).orderBy("h", "names").limit(params.sample)
-    chosen = raw.join(F.broadcast(some), ["channel_id", "msg_id"])  # at most params.sample rows
-    texts = messages(chosen).join(F.broadcast(some), ["channel_id", "msg_id"]).select("text", F.get("names", F.lit(0)).alias("lang"), "h").where("text <> ''").distinct()
-    rows = sorted((r["h"], r["lang"], r["text"]) for r in texts.collect())[: 2 * params.sample]
-    return train([t for _, _, t in rows], [lang for _, lang, _ in rows], params)
+    """Fit on some ``params.sample`` messages whose label names one known language, as many of each language as there are.
+
+    Each language has an even part of the sample; its messages are those whose keys hash under the rate that its number of
+    labels asks for, so that a rare language is not lost among frequent ones. A message with several texts gives the greatest.
+    """
+    known = labels.where("lang is not null and channel_id is not null and msg_id is not null").select("channel_id", "msg_id", label_names(F.col("lang")).alias("names"))
+    single = known.where(F.size("names") == 1).select("channel_id", "msg_id", F.get("names", F.lit(0)).alias("lang")).where(F.col("lang").isin(*set(SPELLINGS.values())))
+    counts = {r["lang"]: r["n"] for r in single.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a known language
+    if not counts:
+        return train([], [], params)
+    even, rest, rates = params.sample, len(counts), {}
+    for lang, n in sorted(counts.items(), key=lambda x: x[1]):  # what a rare language leaves goes to the others
+        take = min(n, even // rest)
+        rates[lang], even, rest = take / n, even - take, rest - 1
+    rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
+    h = F.xxhash64("channel_id", "msg_id")
+    some = single.where(F.pmod(h, F.lit(1 << 30)) < rate * (1 << 30)).groupBy("channel_id", "msg_id").agg(F.min("lang").alias("lang")).limit(2 * params.sample)
+    texts = messages(raw.join(F.broadcast(some), ["channel_id", "msg_id"], "left_semi")).join(F.broadcast(some), ["channel_id", "msg_id"]).where("text <> ''")
+    once = texts.groupBy("channel_id", "msg_id", "lang").agg(F.max("text").alias("text"))
+    rows = sorted((r["channel_id"], r["msg_id"], r["lang"], r["text"]) for r in once.collect())
+    return train([t for *_, t in rows], [lang for _, _, lang, _ in rows], params, counts)
 
 
 def read_texts(texts: DataFrame, keys: list[str], net: ByteNet, text: str = "text") -> DataFrame:
