@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from tidewire.llm import leakage
 from tidewire.llm.leakage import LeakParams, in_a_row, words
@@ -36,7 +37,7 @@ def test_finds_passages_and_only_those(spark, rows):
     docs = spark.createDataFrame([(d, t, 1) for d, t in DOCS], "doc_id bigint, text string, item_id int")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert rows(leakage.leaks(docs, items), "doc_id", "item_id") == EXPECTED
-    small = leakage.leaks(docs, items, params=LeakParams(block_words=120))  # several blocks
+    small = leakage.leaks(docs, items, params=LeakParams(block_words=120, blocks_a_pass=2))  # several blocks
     assert rows(small, "doc_id", "item_id") == EXPECTED
     assert leakage.leaks(docs.limit(0), items).count() == 0
     assert leakage.leaks(docs, items.limit(0)).count() == 0
@@ -79,6 +80,50 @@ def test_recall_of_hashing_against_every_alignment():
     assert wanted > 60 and got >= 0.98 * wanted
 
 
+def test_band_equals_the_whole_alignment():
+    """Passages at any place, also at the borders of the text and of the item, with drift from added and dropped words."""
+    items = [(i, words(t)[4:]) for i, t in ITEMS[:12]]
+    index = leakage.Index(items, LeakParams())
+    for k in range(120):
+        i = int(RNG.integers(0, 12))
+        passage = []
+        for w in items[i][1][int(RNG.integers(0, 36)) :][: int(RNG.integers(10, 40))]:
+            r = RNG.random()
+            passage += [] if r < 0.03 else ["zzz"] if r < 0.06 else [w, "zzz"] if r < 0.09 else [w]
+        text = FILLER.split() * int(RNG.integers(0, 3)) + passage + FILLER.split() * int(RNG.integers(0, 3))
+        ids = np.array([index.ids.get(w, 0) for w in text], dtype="int32")
+        found = index.candidates(ids, np.zeros(len(ids), dtype=int))
+        found = found[found[:, 1] == i]
+        if not len(found):
+            continue
+        best = int(index.in_band(ids, np.array([0]), np.array([len(ids)]), index.stretches(found)).max())
+        whole = int(in_a_row([ids], [index.texts[i]])[0])
+        assert (best >= 13) == (whole >= 13), (text, best, whole)
+        assert dict(((i, n) for _, i, n in index.leaks([text]))).get(i, whole if whole < 13 else None) == whole
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+@pytest.mark.parametrize("length", [15, 20, 30])
+def test_recall_by_length_and_edits(length, edits):
+    """Passages of real length with words changed, dropped or added: all of those that an alignment of everything finds."""
+    items = [(i, words(t)[4:]) for i, t in ITEMS[:12]]
+    index = leakage.Index(items, LeakParams())
+    wanted = got = 0
+    for k in range(40):
+        i = int(RNG.integers(0, 12))
+        start = int(RNG.integers(0, 50 - length + 1))
+        passage = list(items[i][1][start : start + length])
+        for at in RNG.choice(length - 2, edits, replace=False) + 1 if edits else ():
+            kind = RNG.integers(3)
+            passage[at : at + 1] = ["zzz"] if kind == 0 else [] if kind == 1 else [passage[at], "zzz"]
+        text = FILLER.split() + passage + FILLER.split()
+        ids = np.array([index.ids.get(w, 0) for w in text])
+        if in_a_row([ids], [index.texts[i]])[0] >= 13:
+            wanted += 1
+            got += any(item == i for _, item, _ in index.leaks([text]))
+    assert wanted >= (0 if length - edits < 15 else 30) and got == wanted
+
+
 def test_folding():
     assert words("СURI­OUS <b>сat</b> &amp; trans-\n lation ﬁne") == ["curious", "cat", "translation", "fine"]
     assert words("") == []

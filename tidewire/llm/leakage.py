@@ -3,8 +3,9 @@
 Texts are folded to words (case, Unicode form, look-alike letters, invisible characters, markup and line breaks do not
 count). Every window of WINDOW words of an item, and of a document, is embedded by CGK random walks: a walk copies the
 word it stands on and steps on by a random bit of (step, word), which turns few edits into few differing positions.
-Sampled positions of several walks are hashed; windows that share a hash are candidates. A local alignment of the
-document around the candidate with the whole item then counts the words in a row exactly.
+Sampled positions of several walks are hashed; windows that share a hash are candidates. Every candidate, however few its
+hashes, is aligned: first in a band around the place where the windows meet, which holds any least passage through them,
+and, if that suffices, with the whole item around it, which counts the words in a row exactly.
 
 A document window is embedded only if most of its words occur in some item: no other window can be within the allowed
 edits of an item window, so nothing is lost.
@@ -65,13 +66,24 @@ class LeakParams:
     walks: int = 16
     samples: int = 9
     tables: int = 2
-    #: Shared hashes, over all windows and tables, from which a document and an item are aligned. Ten equal words in a row
-    #: share all walks * tables hashes; a passage with an edit in every window still shares several times this many.
-    hits: int = 4
     shared_openings: int = 3
     seed: int = 20240229
-    #: Words of items in one index block (about 100 MB in a worker); more items make more passes over the corpus.
-    block_words: int = 300_000
+    #: Words of items in one index block (about 50 MB in a worker), and blocks that one pass over the corpus tries.
+    block_words: int = 150_000
+    blocks_a_pass: int = 4
+
+    @property
+    def band(self) -> int:
+        """How far from the diagonal of a shared window a least passage through it may run: the window and its edits.
+
+        A row of ``least`` matches that starts at zero and stays above it holds fewer than half as many edits.
+        """
+        return self.window + self.least // 2
+
+    @property
+    def reach(self) -> int:
+        """How far before and after a shared window a least passage through it may begin and end."""
+        return self.least + self.least // 2 + self.window // 2
 
 
 def without_openings(texts: list[list[str]], sentences: list[list[str]], shared: int) -> list[list[str]]:
@@ -134,12 +146,12 @@ class Index:
                 yield mix
 
     def candidates(self, text: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """[doc, item text, place] rows, one a shared hash; ``text`` holds the words of all documents, ``doc`` the document of each word.
+        """[doc, item text, place in ``text``, place in the item] rows, one a shared hash, of windows that start there.
 
-        ``place`` is where the item would start in ``text``, in half windows.
+        ``text`` holds the words of all documents, ``doc`` the document of each word.
         """
         p = self.params
-        none = np.empty((0, 3), dtype="int64")
+        none = np.empty((0, 4), dtype="int64")
         if len(text) < p.window or not len(self.owner):
             return none
         upto = np.concatenate([[0], np.cumsum(text > 0)])
@@ -156,7 +168,7 @@ class Index:
             at = np.repeat(dense, many)
             start = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
             item = order[start + np.arange(len(at))]
-            found.append(np.stack([doc[at], self.owner[item], (at - self.at[item]) // (p.window // 2)], axis=1))
+            found.append(np.stack([doc[at], self.owner[item], at, self.at[item]], axis=1))
         return np.concatenate(found) if found else none
 
     def leaks(self, folded: list[list[str]]) -> list[tuple[int, int, int]]:
@@ -169,30 +181,104 @@ class Index:
         found = self.candidates(text, np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
         if not len(found):
             return []
-        half = p.window // 2
+        stretches = self.stretches(found)
+        passing = stretches[self.in_band(text, starts, ends, stretches) >= p.least]
+        # the whole item around each stretch that passed
         length = np.array([len(t) for t in self.texts])
-        wide = np.maximum(1, -(-length // half))[found[:, 1]]
-        # near starts share one alignment; a start near the end of a zone counts for the next one too
-        low_zone, high_zone = found[:, 2] // wide, (found[:, 2] + 1) // wide
-        least, count = int(low_zone.min()), len(self.texts)
-        span = int(high_zone.max()) - least + 1
-        at = lambda zone: (found[:, 0] * count + found[:, 1]) * span + zone - least
-        keys, hits = np.unique(np.concatenate([at(low_zone), at(high_zone)]), return_counts=True)
-        keys = keys[hits >= 2 * p.hits]
-        zones = np.stack([keys // span // count, keys // span % count, keys % span + least], axis=1)
-        wide = np.maximum(1, -(-length // half))[zones[:, 1]]
-        low = np.maximum(starts[zones[:, 0]], (zones[:, 2] * wide - 2) * half)
-        high = np.minimum(ends[zones[:, 0]], (zones[:, 2] + 1) * wide * half + length[zones[:, 1]] + 2 * half)
+        at, diagonal = passing[:, 2:4], passing[:, 4:6]
+        low = np.maximum(starts[passing[:, 0]], np.minimum(diagonal[:, 0], at[:, 0]) - length[passing[:, 1]] // 2 - p.window)
+        high = np.minimum(ends[passing[:, 0]], np.maximum(diagonal[:, 1] + length[passing[:, 1]], at[:, 1]) + length[passing[:, 1]] // 2 + p.window)
         best: dict[tuple[int, int], int] = {}
-        order = np.argsort(high - low, kind="stable")
-        for k in range(0, len(order), 256):
-            some = order[k : k + 256]
-            rows = in_a_row([text[low[i] : high[i]] for i in some], [self.texts[zones[i, 1]] for i in some])
+        for some in in_chunks(high - low):
+            rows = in_a_row([text[low[i] : high[i]] for i in some], [self.texts[passing[i, 1]] for i in some])
             for i, n in zip(some, rows.tolist()):
-                key = (int(zones[i, 0]), int(zones[i, 1]))
+                key = (int(passing[i, 0]), int(passing[i, 1]))
                 best[key] = max(n, best.get(key, 0))
         return [(d, item, n) for (d, i), n in best.items() if n >= p.least for item in self.same[i]]
 
+    def stretches(self, found: np.ndarray) -> np.ndarray:
+        """[doc, item text, first and last place, least and greatest diagonal]: shared windows near each other on near diagonals."""
+        p = self.params
+        diagonal = found[:, 2] - found[:, 3]
+        lane = diagonal // p.window
+        order = np.lexsort((found[:, 2], lane, found[:, 1], found[:, 0]))
+        rows, diagonal, lane = found[order], diagonal[order], lane[order]
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]) | (lane[1:] != lane[:-1]) | (rows[1:, 2] - rows[:-1, 2] > p.window)
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(rows)) - 1
+        return np.stack([rows[head, 0], rows[head, 1], rows[head, 2], rows[last, 2], np.minimum.reduceat(diagonal, head), np.maximum.reduceat(diagonal, head)], axis=1)
+
+    def in_band(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretches: np.ndarray) -> np.ndarray:
+        """For each stretch, the most matched words on a local alignment within the band around its diagonals."""
+        p = self.params
+        low = np.maximum(starts[stretches[:, 0]], stretches[:, 2] - p.reach)
+        high = np.minimum(ends[stretches[:, 0]], stretches[:, 3] + p.window + p.reach)
+        centre = (stretches[:, 4] + stretches[:, 5]) // 2
+        wide = p.band + p.window // 2 + 1  # the diagonals of a stretch differ by less than a window
+        most = np.zeros(len(stretches), dtype="int64")
+        for some in in_chunks(high - low, 1024):
+            m = int((high - low)[some].max())
+            words, item = np.zeros((m, len(some)), dtype="int32"), np.full((m + 2 * wide, len(some)), -1, dtype="int32")
+            for k, i in enumerate(some):
+                words[: high[i] - low[i], k] = text[low[i] : high[i]]
+                own = self.texts[stretches[i, 1]]
+                first = int(low[i] - centre[i]) - wide  # the item's word at row 0
+                a, b = max(0, first), min(len(own), first + m + 2 * wide)
+                if a < b:
+                    item[a - first : b - first, k] = own[a:b]
+            dense = matched_densely(words, item, 2 * wide + 1, p.least)
+            if len(dense):
+                most[some[dense]] = banded(words[:, dense], item[:, dense], 2 * wide + 1)
+        return most
+
+
+def matched_densely(words: np.ndarray, item: np.ndarray, width: int, least: int) -> np.ndarray:
+    """The pairs that may hold a row: some least * 3 / 2 words of the text of which ``least`` occur in the item next to them.
+
+    The first ``least`` matches of a row come with fewer than half as many edits, so this leaves no row out.
+    """
+    near = np.stack([(item[i : i + width] == word).any(axis=0) for i, word in enumerate(words)]) & (words > 0)
+    upto = np.concatenate([np.zeros((1, words.shape[1]), dtype="int32"), np.cumsum(near, axis=0, dtype="int32")])
+    span = min(least + least // 2, len(words))
+    return np.flatnonzero((upto[span:] - upto[:-span]).max(axis=0) >= least)
+
+
+def in_chunks(sizes: np.ndarray, rows: int = 256, cells: int = 4_000_000) -> Iterator[np.ndarray]:
+    """Numbers of all rows in chunks of like size, of so many rows and so many cells at most (or of one row)."""
+    order = np.argsort(sizes, kind="stable")
+    k = 0
+    while k < len(order):
+        end = min(k + rows, len(order))
+        while end > k + 1 and (end - k) * int(sizes[order[end - 1]]) > cells:
+            end = k + (end - k) // 2
+        yield order[k:end]
+        k = end
+
+
+COST = 2
+
+
+def banded(words: np.ndarray, item: np.ndarray, width: int) -> np.ndarray:
+    """Local alignment as in ``in_a_row``, row by row of ``words`` [place, pair], against the ``width`` words of the item [place, pair] next to its diagonal."""
+    c, kind = item.shape[1], np.int16 if len(words) < 30_000 else np.int32
+    score, matched = np.zeros((width + 1, c), dtype=kind), np.zeros((width + 1, c), dtype=kind)  # the last row stays zero
+    most, cost = np.zeros(c, dtype=kind), kind(COST)
+    left, left_count = np.full((width, c), -cost, dtype=kind), np.zeros((width, c), dtype=kind)
+    for i, word in enumerate(words):
+        hit = item[i : i + width] == word
+        diagonal, up = score[:-1] + hit * kind(1 + COST) - cost, score[1:] - cost
+        new = np.maximum(diagonal, up)
+        count = np.where(diagonal >= up, matched[:-1] + hit, matched[1:])
+        left[1:], left_count[1:] = new[:-1] - cost, count[:-1]
+        count = np.where(left > new, left_count, count)  # one word of the item left out
+        new = np.maximum(new, left)
+        live = new > 0
+        np.multiply(new, live, out=score[:-1])
+        np.multiply(count, live, out=matched[:-1])
+        np.maximum(most, matched[:-1].max(axis=0), out=most)
+    return most
+
 
 def in_a_row(texts: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     """For each pair, the most matched words on a local alignment: a match adds one, a changed, dropped or added word takes two.
@@ -204,7 +290,7 @@ def in_a_row(texts: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     step = np.int16 if n < 30_000 else np.int32
     for i, (t, x) in enumerate(zip(texts, items)):
         item[i, : len(x)], text[: len(t), i] = x, t
-    cost = 2
+    cost = COST
     score, matched = np.zeros((c, n + 1), dtype=step), np.zeros((c, n + 1), dtype=step)
     zero = np.zeros((c, 1), dtype=step)
     most = np.zeros(c, dtype=step)
@@ -232,9 +318,7 @@ def item_blocks(items: DataFrame, item: str, text: str, params: LeakParams) -> l
         ids.append(r["i"])
         texts.append(words(r["t"]))
         first.append(words(re.split(r"(?<=[.!?:])\s", r["t"].strip(), maxsplit=1)[0]))
-    for _ in range(2):  # an instruction, then a common heading
-        texts_cut = without_openings(texts, first, params.shared_openings)
-        texts, first = texts_cut, [[] for _ in first]
+    texts = without_openings(texts, first, params.shared_openings)
     blocks, held, size = [], [], 0
     for i, w in zip(ids, texts):
         if held and size + len(w) > params.block_words:
@@ -250,7 +334,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     """doc, item and words (the longest row of the item's words that the document holds).
 
     Null and empty texts hold and leak nothing; items of the same text leak together; repeated documents give equal rows
-    once. The items are a stated set, read in blocks; the corpus is read once a block and never shuffled before the result.
+    once. The items are a stated set, read in blocks; a pass over the corpus tries several blocks on each text, folded once, and
+    nothing is shuffled before the result.
     """
     spark: SparkSession = documents.sparkSession
     kinds = [documents.select(doc).schema[0].dataType.simpleString(), items.select(item).schema[0].dataType.simpleString()]
@@ -258,12 +343,12 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     rows = spread(rows)
     schema = f"doc {kinds[0]}, item {kinds[1]}, words int"
 
-    def search(index):
+    def search(indices):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = index.value
             for batch in (piece for whole in batches for piece in in_pieces(whole, "text", 2_000_000)):
                 docs = batch.column("doc").to_pylist()
-                found = ix.leaks([words(t) for t in batch.column("text").to_pylist()])
+                folded = [words(t) for t in batch.column("text").to_pylist()]
+                found = [row for index in indices for row in index.value.leaks(folded)]
                 out = ([docs[d] for d, _, _ in found], [i for _, i, _ in found], [n for _, _, n in found])
                 types = [batch.schema.field("doc").type, pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["doc", "item", "words"])
@@ -271,8 +356,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
         return run
 
     result = None
-    for index in item_blocks(items, item, text, params):
-        part = rows.mapInArrow(search(spark.sparkContext.broadcast(index)), schema)
+    blocks = item_blocks(items, item, text, params)
+    for k in range(0, len(blocks), params.blocks_a_pass):
+        part = rows.mapInArrow(search([spark.sparkContext.broadcast(b) for b in blocks[k : k + params.blocks_a_pass]]), schema)
         result = part if result is None else result.unionByName(part)
     if result is None:
         result = spark.createDataFrame([], schema)
