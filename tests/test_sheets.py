@@ -9,7 +9,43 @@ from pyspark.sql import functions as F
 from tidewire.operators import baselines, communities, medians, rankings
 
 T0 = datetime(2026, 8, 6, 12)
-OBS = "channel_id bigint, msg_id bigint, observed_at timestamp, published_at timestamp, views bigint, forwards bigint, reactions bigint, comments bigint"
+OBS = "channel_id bigint, msg_id bigint, observed_at timestamp, published_at timestamp, album bigint, views bigint, forwards bigint, reactions bigint, comments bigint"
+
+
+CHANNEL = "tg_id bigint, kind string, status string, is_chat boolean"
+
+
+def test_exact_medians_of_doubles(spark):
+    rng = np.random.default_rng(6)
+    data = [(g, float(v)) for g in range(4) for v in np.round(rng.normal(0, 1, 301 + g), 3)] + [(5, 0.0), (5, 0.0), (6, -1e-300), (6, 1e300), (7, None)]
+    got = {r["g"]: (r["n"], r["median"]) for r in medians.exact_medians(spark.createDataFrame(data, "g int, v double"), ["g"], "v").collect()}
+    assert got == {g: (len(x), float(np.median(x))) for g in [0, 1, 2, 3, 5, 6] for x in [[v for h, v in data if h == g]]}
+
+
+def test_scope_albums_and_moments_of_scoring(spark, rows):
+    """Only seeds that are no chats are scored, an album by its first part in the window, nothing later than now is seen."""
+    p = baselines.BaselineParams()
+    known = spark.createDataFrame([(1, "a", "seed", False), (2, "a", "seed", True), (3, "a", "maybe", False), (4, "a", "seed", False)], CHANNEL)
+    scoped = baselines.scope(known, spark.createDataFrame([(4, "permanent"), (1, "transient"), (4, None)], "tg_id bigint, failure_kind string"))
+    assert rows(scoped, "channel_id", "seed", "healthy") == [(1, True, True), (2, False, True), (3, False, True), (4, True, False)]
+    at = lambda m: T0 + timedelta(minutes=m)
+    obs = [(1, 10, at(30), T0, 7, 5, 1, 1, 1), (1, 11, at(30), T0, 7, 9, 1, 1, 1), (1, 12, at(30), T0, None, 5, 1, 1, 1), (1, 12, at(90), T0, None, 8, 1, 1, 1), (2, 1, at(30), T0, None, 5, 1, 1, 1), (3, 1, at(30), T0, None, 5, 1, 1, 1),
+           (4, 1, at(30), T0, None, 5, 1, 1, 1), (1, 8, at(30), T0 - timedelta(days=9), 7, 5, 1, 1, 1)]
+    long = baselines.readings(spark.createDataFrame(obs, OBS), scoped, p)
+    seen = baselines.scored_readings(long, F.lit(T0 - timedelta(days=1)), F.lit(at(60))).where("metric = 'views'")
+    assert rows(seen, "channel_id", "msg_id", "value") == [(1, 10, 5.0), (1, 12, 5.0), (4, 1, 5.0)]
+
+
+def test_a_stored_baseline_is_loaded_by_its_newest_completed_run(spark, rows):
+    p = baselines.BaselineParams()
+    kinds = baselines.scope(spark.createDataFrame([(1, "a", "seed", False), (2, "b", "seed", False)], CHANNEL))
+    long = baselines.readings(spark.createDataFrame(snapshots(), OBS), kinds, p)
+    m, fit = baselines.mature_medians(long, p), baselines.fit(long, p)
+    old, new = baselines.stored(m.limit(1), fit.limit(1), 1, F.lit(T0)), baselines.stored(m, fit, 2, F.lit(T0 + timedelta(days=1)))
+    kept = baselines.StoredBaseline(*[a.unionByName(b) for a, b in zip((old.runs, old.medians, old.curves), (new.runs, new.medians, new.curves))])
+    got_m, got_fit = baselines.load(kept)
+    assert rows(got_m.select(m.columns)) == rows(m) and got_fit.count() == fit.count()
+    assert baselines.load(kept, F.lit(T0))[0].count() == 1
 
 
 def test_group_medians_match_numpy(spark):
@@ -27,15 +63,15 @@ def snapshots(fraction=None):
         for m in range(30):
             size = level * (0.8 + 0.02 * m)
             for age, f in fraction.items():
-                out.append((c, m, T0 + timedelta(minutes=age), T0, int(size * f), None, None, None))
-            out.append((c, m, T0 + timedelta(days=40), T0, int(size * 2), None, None, None))
-        out.append((c, 99, T0 - timedelta(minutes=5), T0, 10**9, None, None, None))  # before publication
+                out.append((c, m, T0 + timedelta(minutes=age), T0, None, int(size * f), None, None, None))
+            out.append((c, m, T0 + timedelta(days=40), T0, None, int(size * 2), None, None, None))
+        out.append((c, 99, T0 - timedelta(minutes=5), T0, None, 10**9, None, None, None))  # before publication
     return out
 
 
 def test_baseline_drops_channel_size_and_scores_age(spark):
     p = baselines.BaselineParams()
-    kinds = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "channel_id bigint, kind string")
+    kinds = baselines.scope(spark.createDataFrame([(1, "a", "seed", False), (2, "b", "seed", False), (3, None, "seed", False)], CHANNEL))
     long = baselines.readings(spark.createDataFrame(snapshots(), OBS), kinds, p)
     fit = baselines.fit(long, p)
     got = {(r["kind"], r["metric"], r["band"]): r for r in fit.collect()}
@@ -43,19 +79,19 @@ def test_baseline_drops_channel_size_and_scores_age(spark):
     assert got["a", "views", "420m"]["fraction"] == 1 and abs(got["a", "views", "105m"]["fraction"] - 0.5) < 0.02
     assert abs(got["a", "views", "15m"]["factor"] - 0.5) < 0.02 and not got["a", "views", "15m"]["borrowed"]
     medians_ = baselines.mature_medians(long, p)
-    spike = (2, 500, T0 + timedelta(minutes=120), T0, 900_000, None, None, None)
-    quiet = (2, 501, T0 + timedelta(minutes=120), T0, 0, None, None, None)
+    spike = (2, 500, T0 + timedelta(minutes=120), T0, None, 900_000, None, None, None)
+    quiet = (2, 501, T0 + timedelta(minutes=120), T0, None, 0, None, None, None)
     new = baselines.readings(spark.createDataFrame([spike, quiet], OBS), kinds, p)
     scored = {r["msg_id"]: r["z"] for r in baselines.scores(new, fit, medians_, p).collect()}
     assert scored[500] > 3.3 and scored[501] < -3.3
     assert [r["msg_id"] for r in baselines.spikes(baselines.scores(new, fit, medians_, p), p).collect()] == [500]
-    assert baselines.scores(new, fit, medians_, p, F.lit(T0 + timedelta(minutes=100))).count() == 0
+    assert baselines.scores(new, fit, medians_, p, now=F.lit(T0 + timedelta(minutes=100))).count() == 0
 
 
 def test_thin_kind_borrows_the_whole_fit(spark):
     p = baselines.BaselineParams()
-    kinds = spark.createDataFrame([(1, "a"), (2, "a"), (3, "thin")], "channel_id bigint, kind string")
-    few = [(3, m, T0 + timedelta(minutes=15), T0, 5, None, None, None) for m in range(3)]
+    kinds = baselines.scope(spark.createDataFrame([(1, "a", "seed", False), (2, "a", "seed", False), (3, "thin", "seed", False)], CHANNEL))
+    few = [(3, m, T0 + timedelta(minutes=15), T0, None, 5, None, None, None) for m in range(3)]
     got = baselines.fit(baselines.readings(spark.createDataFrame([*snapshots(), *few], OBS), kinds, p), p)
     a, thin = ({(r["band"], r["fraction"], r["factor"], r["spread"]) for r in got.where(f"kind = '{k}'").collect()} for k in ("a", "thin"))
     assert thin and {r["borrowed"] for r in got.where("kind = 'thin'").collect()} == {True}

@@ -33,8 +33,9 @@ def do_baselines(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def do_score(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    rows = readings(spark, a)
-    return baselines.spikes(baselines.scores(rows, baselines.fit(rows, params(a)), baselines.mature_medians(rows, params(a)), params(a), F.to_timestamp(F.lit(a.now)) if a.now else None), params(a))
+    rows, p = readings(spark, a), params(a)
+    moment = lambda text: F.to_timestamp(F.lit(text)) if text else None
+    return baselines.spikes(baselines.scores(rows, baselines.fit(rows, p), baselines.mature_medians(rows, p), p, moment(a.since), moment(a.replay or a.now)), p)
 
 
 def params(a: argparse.Namespace) -> baselines.BaselineParams:
@@ -42,8 +43,7 @@ def params(a: argparse.Namespace) -> baselines.BaselineParams:
 
 
 def readings(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    kinds = domain.channels(spark, a.data).select(F.col("tg_id").alias("channel_id"), "kind")
-    return baselines.readings(payload.observations(table(spark, a.data, "raw_messages")), kinds, params(a))
+    return baselines.readings(payload.observations(table(spark, a.data, "raw_messages")), baselines.scope(domain.channels(spark, a.data)), params(a))
 
 
 def do_affiliates(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -98,7 +98,7 @@ def parser() -> argparse.ArgumentParser:
     options: dict[str, list[tuple]] = {
         "derive": [("--rebuild", {"action": "store_true"})],
         "alerts": [("--window", {"type": float, "default": 6.0}), ("--bands", {"type": int, "nargs": "+", "default": [2, 3]})],
-        "baselines": [("--threshold", {"type": float, "default": 3.3})], "score": [("--threshold", {"type": float, "default": 3.3})],
+        "baselines": [("--threshold", {"type": float, "default": 3.3})], "score": [("--threshold", {"type": float, "default": 3.3}), ("--since", {}), ("--replay", {})],
         "affiliates": [(f"--{k.replace('_', '-')}", {"type": type(getattr(o, k)), "default": getattr(o, k)}) for o in (t, w) for k in o.__dataclass_fields__],
         "family": [], "channels": [("--status", {}), ("--ref", {})], "resolve": [("--min-sources", {"type": int, "default": 1})], "watch": [], "graph": [], "scorecard": [], "style": [], "query": [("name", {})],
     }

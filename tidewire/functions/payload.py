@@ -77,9 +77,9 @@ def counters(p: Column | str = "p", mode: str = "strict") -> list[Column]:
 
 
 def observations(raw: DataFrame) -> DataFrame:
-    """channel_id, msg_id, observed_at, published_at and the counters of every fetch of a post; service messages have none."""
+    """channel_id, msg_id, observed_at, published_at, album and the counters of every fetch of a post; service messages have none."""
     rows = parsed(raw).where("p._ = 'Message'")
-    return rows.select("channel_id", "msg_id", F.col("fetched_at").alias("observed_at"), moment(F.col("p.date")).alias("published_at"), *counters()).distinct()
+    return rows.select("channel_id", "msg_id", F.col("fetched_at").alias("observed_at"), moment(F.col("p.date")).alias("published_at"), F.col("p.grouped_id").alias("album"), *counters()).distinct()
 
 
 def posts(raw: DataFrame, mode: str = "strict") -> DataFrame:

@@ -77,12 +77,21 @@ def backoff(empty: Column, failures: Column) -> Column:
 def next_poll(now: Column, last_poll: Column, next_live: Column, posts_per_day: Column, empty: Column, failures: Column, s: Schedule = Schedule()) -> Column:
     """When to poll next, in minutes since the epoch: the next sample of a live post, else the idle wait stretched by backoff.
 
-    Never sooner than the floor after the last poll, never before now.
+    Backoff stretches the idle wait alone, and only a failing channel's wait is capped. Never sooner than the floor after
+    the last poll, never before now.
     """
-    cap = F.when(failures > 0, F.lit(s.failure_cap)).otherwise(F.lit(s.failure_cap))
-    idle = now + F.least(idle_interval(posts_per_day, s) * backoff(empty, failures), F.greatest(cap, F.lit(s.most)))
-    due = F.when((failures == 0) & next_live.isNotNull(), next_live).otherwise(idle)
-    return F.greatest(due, F.coalesce(last_poll + s.floor, now), now)
+    wait = idle_interval(posts_per_day, s) * backoff(empty, failures)
+    idle = now + F.when(failures > 0, F.least(wait, F.lit(s.failure_cap))).otherwise(wait)
+    return F.greatest(F.coalesce(next_live, idle), F.coalesce(last_poll + s.floor, now), now)
+
+
+def quiet_until(at: Column, start_hour: int, end_hour: int, zone: str = "UTC") -> Column:
+    """The moment at which the quiet hours that hold ``at`` end; ``at`` itself outside of them."""
+    local = F.from_utc_timestamp(at, zone)
+    day = F.date_trunc("day", local)
+    wraps = (F.hour(local) >= start_hour) if start_hour > end_hour else F.lit(False)
+    ends = F.when(wraps, day + F.expr("interval 1 day")).otherwise(day) + F.make_dt_interval(hours=F.lit(end_hour))
+    return F.when(in_quiet_window(at, start_hour, end_hour, zone), F.to_utc_timestamp(ends, zone)).otherwise(at)
 
 
 def window_size(posts_per_day: Column) -> Column:

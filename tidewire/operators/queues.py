@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.timing import in_quiet_window, seconds
 
-PERMANENT = ("ChannelPrivateError", "ChannelInvalidError", "UsernameInvalidError", "UsernameNotOccupiedError", "ChannelBannedError")
+#: Errors after which a channel is not asked again, by class name (fixed values).
+PERMANENT = (
+    "ChannelPrivateError", "ChannelInvalidError", "ChannelPublicGroupNaError", "UsernameInvalidError", "UsernameNotOccupiedError", "PeerIdInvalidError", "InviteHashExpiredError", "ValueError",
+)
 
 
 def in_scope(channels: DataFrame, failures: DataFrame | None = None) -> DataFrame:
@@ -73,12 +74,26 @@ def awaiting_resolution(channels: DataFrame, retry_failed: bool = False) -> Data
     return (rows if retry_failed else rows.where("coalesce(resolve_attempts, 0) = 0")).orderBy("tg_id")
 
 
+class ChannelNotFound(LookupError):
+    pass
+
+
+class AmbiguousChannel(LookupError):
+    pass
+
+
 def find_channel(channels: DataFrame, ref: str) -> DataFrame:
-    """The channels that an id or a username (any case, with or without @) names; the caller decides what several mean."""
+    """The one channel that an id or a username (any case, with or without @) names.
+
+    Raises ChannelNotFound if none does, AmbiguousChannel if several do.
+    """
     ref = ref.strip()
-    if ref.lstrip("-").isdigit():
-        return channels.where(F.col("tg_id") == int(ref))
-    return channels.where(F.lower("username") == ref.removeprefix("@").lower())
+    match = F.col("tg_id") == int(ref) if ref.lstrip("-").isdigit() else F.lower("username") == ref.removeprefix("@").lower()
+    found = channels.where(match)
+    held = found.select("tg_id").distinct().limit(2).count()
+    if held != 1:
+        raise (AmbiguousChannel if held else ChannelNotFound)(ref)
+    return found
 
 
 def mark(channels: DataFrame, marks: DataFrame) -> DataFrame:
@@ -115,6 +130,39 @@ def raise_alerts(found: DataFrame, stored: DataFrame) -> DataFrame:
     return found.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
+def spike_alerts(spikes: DataFrame) -> DataFrame:
+    """Spikes as alerts: one a post, always of band 1, the value its score."""
+    return spikes.select(F.lit("spike").alias("kind"), "channel_id", "msg_id", F.lit(1).alias("band"), F.col("z").alias("value"))
+
+
+def cascade_alerts(crossings: DataFrame) -> DataFrame:
+    """Crossed bands as alerts, the value the number of families; in order of post and band."""
+    return crossings.select(F.lit("cascade").alias("kind"), "channel_id", "msg_id", "band", F.col("families").cast("double").alias("value")).orderBy("channel_id", "msg_id", "band")
+
+
+def raised_bands(alerts: DataFrame, kind: str = "cascade") -> DataFrame:
+    """The bands already raised of each post, as a set in order."""
+    return alerts.where(F.col("kind") == kind).groupBy("channel_id", "msg_id").agg(F.array_sort(F.collect_set("band")).alias("bands"))  # a few bands a post
+
+
+def mark_deliveries(alerts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Alerts after attempts to send them. outcomes: id, at, delivery (how it went out), error (null if it did).
+
+    A success sets the moment and way of delivery and clears the error; a failure keeps the alert open with the error's
+    first 500 characters; both count an attempt. An alert once delivered stays as it is.
+    """
+    o = outcomes.groupBy("id").agg(F.max(F.struct("at", F.col("delivery").alias("how"), F.col("error").alias("why"))).alias("o"), F.count("*").alias("_tries"))
+    rows = alerts.join(o, "id", "left")
+    tried = F.col("o").isNotNull() & F.col("delivered_at").isNull()
+    sent = tried & F.col("o.why").isNull()
+    new = {
+        "delivered_at": F.when(sent, F.col("o.at")).otherwise(F.col("delivered_at")), "delivery": F.when(sent, F.col("o.how")).otherwise(F.col("delivery")),
+        "attempts": F.when(tried, F.col("attempts") + F.col("_tries").cast("int")).otherwise(F.col("attempts")),
+        "last_error": F.when(sent, F.lit(None).cast("string")).when(tried, F.substring("o.why", 1, 500)).otherwise(F.col("last_error")),
+    }
+    return rows.select(*[new[c].alias(c) if c in new else c for c in alerts.columns])
+
+
 def claim(alerts: DataFrame, limit: int = 10) -> DataFrame:
     """Undelivered alerts, oldest first."""
     return alerts.where("delivered_at is null").orderBy("raised_at", "id").limit(limit)
@@ -148,7 +196,3 @@ def render(alerts: DataFrame) -> DataFrame:
     size = F.when(z < 4, "unusual").when(z < 6, "strong").otherwise("extreme")
     line = F.when(F.col("kind") == "cascade", F.concat_ws(" ", F.lit("carried by"), F.col("value").cast("int").cast("string"), F.lit("families:"), F.coalesce("title", F.lit("?")), "link"))
     return alerts.withColumn("line", line.otherwise(F.concat_ws(" ", size, F.col("kind"), F.format_number(z, 1), F.lit("·"), F.coalesce("title", F.lit("?")), "link")))
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

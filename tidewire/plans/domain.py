@@ -198,9 +198,18 @@ def outgoing_references(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- baselines
 
 
+#: Fits rest on posts published since this moment.
+SINCE = "2025-06-01 00:00:00"
+
+
+def scoped(spark: SparkSession, folder: str) -> DataFrame:
+    """Channels with kind and scope; the channels of every seventh id count as failed for good, as no table holds failures."""
+    failures = channels(spark, folder).where("tg_id % 7 = 0").select("tg_id", queues.classify_failure(F.lit("ChannelPrivateError")).alias("failure_kind"))
+    return baselines.scope(channels(spark, folder), failures)
+
+
 def readings(spark: SparkSession, folder: str) -> DataFrame:
-    kinds = channels(spark, folder).select(F.col("tg_id").alias("channel_id"), "kind")
-    return baselines.readings(payload.observations(raw(spark, folder)), kinds, BASELINE)
+    return baselines.readings(payload.observations(raw(spark, folder)), scoped(spark, folder), BASELINE)
 
 
 def mature_medians(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,32 +220,62 @@ def age_bands(spark: SparkSession, folder: str) -> DataFrame:
     return readings(spark, folder).groupBy("metric", "band").agg(F.count("*").alias("n"))
 
 
+def default_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """The default bands over ages from the message numbers, which reach over all of them."""
+    rows = raw(spark, folder).select(timing.band_of(F.pmod("msg_id", F.lit(7000)) / 10.0).alias("band"))
+    return rows.groupBy("band").agg(F.count("*").alias("n"))
+
+
 def growth_curves(spark: SparkSession, folder: str) -> DataFrame:
-    rows = readings(spark, folder)
+    rows = baselines.fitted_on(readings(spark, folder), at(SINCE))
     return baselines.curves(rows, baselines.references(rows, BASELINE), BASELINE).withColumn("fraction", F.round("fraction", 6))
 
 
 def growth_factors(spark: SparkSession, folder: str) -> DataFrame:
-    rows = readings(spark, folder)
-    out = baselines.factors(rows, baselines.references(rows, BASELINE), baselines.mature_medians(rows, BASELINE), BASELINE)
+    long = readings(spark, folder)
+    rows = baselines.fitted_on(long, at(SINCE))
+    out = baselines.factors(rows, baselines.references(rows, BASELINE), baselines.mature_medians(long, BASELINE), BASELINE)
     return out.withColumn("factor", F.round("factor", 6))
 
 
 def baseline_fit(spark: SparkSession, folder: str) -> DataFrame:
-    out = baselines.fit(readings(spark, folder), BASELINE)
+    out = baselines.fit(readings(spark, folder), BASELINE, at(SINCE))
     return out.select("kind", "metric", "band", *[F.round(c, 6).alias(c) for c in ("fraction", "factor", "spread")], "borrowed")
 
 
-def spike_scores(spark: SparkSession, folder: str, as_of: str | None = None) -> DataFrame:
-    rows = readings(spark, folder)
-    scored = baselines.scores(rows, baselines.fit(rows, BASELINE), baselines.mature_medians(rows, BASELINE), BASELINE, at(as_of) if as_of else None)
-    return baselines.spikes(scored, BASELINE).select("channel_id", "msg_id", "metric", F.round("z", 5).alias("z"), F.round("times", 5).alias("times"))
+def scored(spark: SparkSession, folder: str, now: str = NOW, long: DataFrame | None = None) -> DataFrame:
+    """Scores from a baseline that was stored and loaded again."""
+    rows = readings(spark, folder) if long is None else long
+    kept = baselines.stored(baselines.mature_medians(rows, BASELINE), baselines.fit(rows, BASELINE, at(SINCE)), 1, at(SINCE))
+    medians, baseline = baselines.load(kept)
+    return baselines.scores(rows, baseline, medians, BASELINE, at(SINCE), at(now))
+
+
+def spike_scores(spark: SparkSession, folder: str, now: str = NOW) -> DataFrame:
+    return baselines.spikes(scored(spark, folder, now), BASELINE).select("channel_id", "msg_id", "metric", F.round("z", 5).alias("z"), F.round("times", 5).alias("times"))
 
 
 def spike_replay(spark: SparkSession, folder: str) -> DataFrame:
     return spike_scores(spark, folder, "2026-01-01 00:00:00")
 
 
+def ranked_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every metric's score of each reading, best first; only those that are no near tie are given a place in the oracle's sense."""
+    return baselines.ranked(scored(spark, folder)).select("channel_id", "msg_id", epoch("observed_at"), "metric", F.round("z", 5).alias("z"), "place")
+
+
+def scoring_summary(spark: SparkSession, folder: str) -> DataFrame:
+    long = readings(spark, folder)
+    rows = scored(spark, folder, NOW, long)
+    return baselines.summary(long, rows, baselines.spikes(rows, BASELINE), baselines.mature_medians(long, BASELINE), scoped(spark, folder), BASELINE, at(SINCE), at())
+
+
+def spike_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts that the spikes of a later moment add to those raised at an earlier one."""
+    raised = queues.spike_alerts(baselines.spikes(scored(spark, folder, "2026-01-01 00:00:00"), BASELINE))
+    return queues.raise_alerts(queues.spike_alerts(baselines.spikes(scored(spark, folder), BASELINE)), raised).withColumn("value", F.round("value", 5))
+
+
 # ---------------------------------------------------------------- sheets
 
 
@@ -383,7 +422,7 @@ QUERIES = {
     for f in (
         derived_edges, discovered_channels, pending_mentions, missing_edges, edge_keys, inventory, first_wins, latest_wins, post_counters, reaction_kinds, mention_names, about_names, album_parts, event_props,
         pair_counts, top_targets, share_pairs, mutual_pairs, shared_tokens, signed_handles, about_pairs, detected_pairs, current_decisions, decision_counts, cascade_crossings, cited_ranking,
-        incoming_references, outgoing_references, mature_medians, age_bands, growth_curves, growth_factors, baseline_fit, spike_scores, spike_replay, reference_variety, post_medians, scorecard, text_measures,
+        incoming_references, outgoing_references, mature_medians, age_bands, default_bands, growth_curves, growth_factors, baseline_fit, spike_scores, spike_replay, ranked_scores, scoring_summary, spike_alerts, reference_variety, post_medians, scorecard, text_measures,
         style_scores, anomaly_z, anomaly_picks, views_below, status_counts, freshness, decayed_edges, balanced_pairs, community_partition, label_propagation, partition_nmi, inside_share, outward_lean, bridge_nodes,
         term_odds, due_queue, queue_lag, post_rates, poll_schedule, metadata_due, awaiting_resolution,
     )

@@ -50,34 +50,46 @@ rp as (select e.dst channel_id, coalesce(p.first_part, e.dst_msg_id) msg_id, e.s
   from e left join parts p on p.channel_id = e.dst and p.msg_id = e.dst_msg_id left join fresh sf on sf.channel_id = e.src left join fresh df on df.channel_id = e.dst
   where e.kind = 'forward' and e.dst_msg_id is not null)"""
 
+SINCE = "timestamp '2025-06-01 00:00:00'"
+
 READINGS = f"""{INVENTORY},
-obs as (select distinct channel_id, msg_id, fetched_at observed_at, (j->>'date')::timestamptz published_at, (j->>'views')::bigint views, (j->>'forwards')::bigint forwards,
+obs as (select distinct channel_id, msg_id, fetched_at observed_at, (j->>'date')::timestamptz published_at, (j->>'grouped_id')::bigint album, (j->>'views')::bigint views, (j->>'forwards')::bigint forwards,
     case when json_type(j->'reactions'->'results') = 'ARRAY' then coalesce(list_sum(json_extract(j, '$.reactions.results[*].count')::bigint[]), 0)::bigint end reactions, (j->'replies'->>'replies')::bigint comments
   from (select *, payload::json j from raw_messages) where j->>'_' = 'Message'),
-wide as (select o.*, inv.kind, (epoch_us(observed_at) / 1e6 - epoch_us(published_at) / 1e6) / 60 age from obs o join inv on inv.tg_id = o.channel_id where inv.kind is not null),
-rd as (select channel_id, msg_id, kind, observed_at, age, metric, val::double val, case when age < 2880 then '0m' when age < 5760 then '2880m' when age < 11520 then '5760m' when age < 57600 then '11520m' end band
+wide as (select o.*, inv.kind, inv.status = 'seed' and not inv.is_chat seed, inv.tg_id % 7 <> 0 healthy, (epoch_us(observed_at) / 1e6 - epoch_us(published_at) / 1e6) / 60 age from obs o join inv on inv.tg_id = o.channel_id),
+rd as (select channel_id, msg_id, album, kind, seed, healthy, observed_at, published_at, age, metric, val::double val, case when age < 2880 then '0m' when age < 5760 then '2880m' when age < 11520 then '5760m' when age < 57600 then '11520m' end band
   from (unpivot wide on views, reactions, forwards, comments into name metric value val) where age >= 0),
-med as (select channel_id, metric, median(val) median, count(*)::bigint samples from rd where age >= 4320 and age < 43200 and val > 0 group by all having count(*) >= 8),
-ref as (select channel_id, msg_id, metric, max(val) reference from rd where band = '5760m' and val > 0 group by all),
-pool as (select * from rd union all select * replace ('*' as kind) from rd),
-curve as (select kind, metric, band, median(val / reference) fraction, count(*)::bigint samples from pool join ref using (channel_id, msg_id, metric) where band is not null and val > 0 group by all having count(*) >= 3),
-refpool as (select ref.*, k.kind from ref join (select distinct channel_id, kind from rd union all select distinct channel_id, '*' from rd) k using (channel_id)),
+med as (select channel_id, metric, median(val) median, count(*)::bigint samples from rd where seed and healthy and age >= 4320 and age < 43200 and val > 0 group by all having count(*) >= 8),
+fitted as (select * from rd where kind is not null and val > 0 and published_at >= {SINCE}),
+ref as (select channel_id, msg_id, metric, max(val) reference from fitted where band = '5760m' group by all),
+pool as (select * from fitted union all select * replace ('*' as kind) from fitted),
+curve as (select kind, metric, band, median(val / reference) fraction, count(*)::bigint samples from pool join ref using (channel_id, msg_id, metric) where band is not null group by all having count(*) >= 3),
+refpool as (select ref.*, k.kind from ref join (select distinct channel_id, kind from fitted union all select distinct channel_id, '*' from fitted) k using (channel_id)),
 factor as (select kind, metric, median(reference / median) factor from refpool join med using (channel_id, metric) where median > 0 group by all having count(*) >= 3),
-resid as (select kind, metric, band, ln(val / (median * factor * fraction)) r from pool join med using (channel_id, metric) join curve using (kind, metric, band) join factor using (kind, metric) where val > 0 and median * factor * fraction > 0),
+resid as (select kind, metric, band, ln(val / (median * factor * fraction)) r from pool join med using (channel_id, metric) join curve using (kind, metric, band) join factor using (kind, metric) where median * factor * fraction > 0),
 ps as (select kind, metric, 1.4826 * mad(r) sp from resid group by all having count(*) >= 3 and mad(r) > 0),
 bs as (select kind, metric, band, 1.4826 * mad(r) sb from resid group by all having count(*) >= 3 and mad(r) > 0),
 own as (select kind, metric, band, fraction, factor, coalesce(sb, sp) spread from curve join factor using (kind, metric) join ps using (kind, metric) left join bs using (kind, metric, band)),
 fit as (select *, false borrowed from own where kind <> '*' union all
-  select w.kind, own.metric, own.band, own.fraction, own.factor, own.spread, true from (select distinct kind, metric from rd) w join own on own.kind = '*' and own.metric = w.metric
+  select w.kind, own.metric, own.band, own.fraction, own.factor, own.spread, true from (select distinct kind, metric from fitted) w join own on own.kind = '*' and own.metric = w.metric
   where not exists (select 1 from own o where o.kind = w.kind and o.metric = w.metric))"""
 
 
-def spikes(bound: str) -> str:
-    return f"""with {READINGS},
-sc as (select channel_id, msg_id, metric, age, val, median * factor * fraction expected, ln(greatest(val, 0.5) / (median * factor * fraction)) / spread z
-  from rd join fit using (kind, metric, band) join med using (channel_id, metric) where metric in ('views', 'reactions', 'forwards') and spread > 0 and median * factor * fraction > 0 {bound}),
-best as (select *, row_number() over (partition by channel_id, msg_id order by z desc, case metric when 'views' then 0 when 'reactions' then 1 when 'forwards' then 2 else 3 end, age) rn from sc)
-select channel_id, msg_id, metric, round(z, 5) z, round(val / expected, 5) times from best where rn = 1 and z >= 1.5"""
+def scores(now: str, name: str = "sc") -> str:
+    """Scores at a moment: of seeds, of posts in the window, of the first part of an album among the readings that are seen."""
+    return f"""{name}_win as (select * from rd where seed and published_at >= {SINCE} and published_at <= {now} and observed_at <= {now}),
+{name}_post as (select w.* from {name}_win w left join (select channel_id, album, min(msg_id) head from {name}_win where album is not null group by all) f on f.channel_id = w.channel_id and f.album = w.album where w.album is null or w.msg_id = f.head),
+{name} as (select channel_id, msg_id, observed_at, metric, age, val, median * factor * fraction expected, ln(greatest(val, 0.5) / (median * factor * fraction)) / spread z
+  from {name}_post join fit using (kind, metric, band) join med using (channel_id, metric) where metric in ('views', 'reactions', 'forwards') and spread > 0 and median * factor * fraction > 0),
+{name}_best as (select *, row_number() over (partition by channel_id, msg_id order by z desc, case metric when 'views' then 0 when 'reactions' then 1 when 'forwards' then 2 else 3 end, age) rn from {name}),
+{name}_spike as (select * from {name}_best where rn = 1 and z >= 1.5)"""
+
+
+REPLAYED = "timestamp '2026-01-01 00:00:00'"
+
+
+def spikes(now: str) -> str:
+    return f"with {READINGS}, {scores(now)} select channel_id, msg_id, metric, round(z, 5) z, round(val / expected, 5) times from sc_spike"
 
 
 OUTWARD = f"""{PAIRS}, {EDGES},
@@ -209,8 +221,13 @@ select channel_id, msg_id, band::int band, families from fc, (select unnest([1,
     "growth_curves": f"with {READINGS} select kind, metric, band, round(fraction, 6) fraction, samples from curve",
     "growth_factors": f"with {READINGS} select kind, metric, round(factor, 6) factor from factor",
     "baseline_fit": f"with {READINGS} select kind, metric, band, round(fraction, 6) fraction, round(factor, 6) factor, round(spread, 6) spread, borrowed from fit",
-    "spike_scores": spikes(""),
-    "spike_replay": spikes("and observed_at <= timestamp '2026-01-01 00:00:00'"),
+    "spike_scores": spikes(NOW),
+    "spike_replay": spikes(REPLAYED),
+    "ranked_scores": f"with {READINGS}, {scores(NOW)} select channel_id, msg_id, epoch(observed_at)::bigint observed_at, metric, round(z, 5) z, row_number() over (partition by channel_id, msg_id, observed_at order by z desc, case metric when 'views' then 0 when 'reactions' then 1 else 2 end)::int place from sc",
+    "scoring_summary": f"""with {READINGS}, {scores(NOW)} select (select count(*) from (select distinct channel_id, msg_id from sc_post))::bigint posts, (select count(*) from (select distinct channel_id, msg_id from sc))::bigint scored, (select count(*) from sc_spike)::bigint crossed,
+  (select count(*) from inv where status = 'seed' and not is_chat and tg_id % 7 <> 0)::bigint channels_in_scope, (select count(distinct channel_id) from med)::bigint channels_with_baseline""",
+    "spike_alerts": f"with {READINGS}, {scores(NOW)}, {scores(REPLAYED, 'old')} select 'spike' kind, channel_id, msg_id, 1::int band, round(z, 5) \"value\" from sc_spike s where not exists (select 1 from old_spike o where o.channel_id = s.channel_id and o.msg_id = s.msg_id)",
+    "default_bands": "select band, count(*)::bigint n from (select (msg_id % 7000) / 10.0 age, case when age < 10 then null when age < 15 then '10m' when age < 22 then '15m' when age < 33 then '22m' when age < 48 then '33m' when age < 70 then '48m' when age < 105 then '70m' when age < 150 then '105m' when age < 220 then '150m' when age < 320 then '220m' when age < 420 then '320m' when age < 570 then '420m' end band from raw_messages) group by 1",
     "reference_variety": f"with recursive collected as (select distinct channel_id from raw_messages), {OUTWARD} select channel_id, round(out_variety, 6) out_variety, out_targets, in_sources, round(reciprocity, 6) reciprocity from variety",
     "post_medians": f"with {POSTS}, {MEDIANS} select channel_id, posts, " + ", ".join(f"round({c}, 6) {c}" for c in ("median_views", "median_reactions", "median_forwards", "reaction_rate", "forward_rate", "comment_rate")) + " from pm",
     "scorecard": f"""with recursive {POSTS}, collected as (select distinct channel_id from posts), {OUTWARD}, {MEDIANS}, {INVENTORY}, {ABOUT}
