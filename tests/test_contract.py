@@ -24,15 +24,15 @@ def test_entry_runs(spark):
 def test_queries_match_their_oracles(spark):
     """All core queries that SQL can express, on the smallest tables."""
     duckdb = pytest.importorskip("duckdb")
-    from tidewire.plans import domain, problems
+    from tidewire.plans import domain, problems, records, reports
 
     db = duckdb.connect()
     db.execute("set timezone = 'UTC'")
     for f in DATA.glob("*.parquet"):
         db.execute(f"create view {f.stem} as select * from '{f}'")
     wrong = []
-    for name, sql in (problems.ORACLES | domain.ORACLES).items():
-        got = (problems.QUERIES | domain.QUERIES)[name](spark, str(DATA))
+    for name, sql in (problems.ORACLES | domain.ORACLES | records.ORACLES | reports.ORACLES).items():
+        got = (problems.QUERIES | domain.QUERIES | records.QUERIES | reports.QUERIES)[name](spark, str(DATA))
         expected = db.execute(sql)
         columns = [c[0] for c in expected.description]
         clean = lambda v: None if isinstance(v, float) and v != v else v

@@ -86,9 +86,9 @@ def do_style(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def do_query(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    from tidewire.plans import problems
+    from tidewire.plans import problems, records, reports
 
-    return (problems.QUERIES | domain.QUERIES)[a.name](spark, a.data)
+    return (problems.QUERIES | domain.QUERIES | records.QUERIES | reports.QUERIES)[a.name](spark, a.data)
 
 
 def parser() -> argparse.ArgumentParser:

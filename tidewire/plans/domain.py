@@ -146,14 +146,30 @@ def shared_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return signals.token_signal(channels(spark, folder), SIGNAL).withColumn("strength", F.round("strength", 9))
 
 
+def signing(spark: SparkSession, folder: str) -> DataFrame:
+    """Descriptions in which channels of even id sign with the first part of their username, as the stored ones name no handle."""
+    names = channels(spark, folder).where("username is not null").select(F.col("tg_id").alias("channel_id"), "username")
+    signed = F.when(F.pmod("channel_id", F.lit(2)) == 0, F.concat(F.coalesce("about", F.lit("")), F.lit(" @"), F.coalesce(F.get(text.username_tokens("username"), F.lit(0)), F.lit("?")))).otherwise(F.col("about"))
+    return names.join(about(spark, folder).select("channel_id", "about"), "channel_id", "left").select("channel_id", signed.alias("about"))
+
+
 def signed_handles(spark: SparkSession, folder: str) -> DataFrame:
     known = channels(spark, folder)
-    return signals.handle_signal(known, signals.signed_tokens(known, about(spark, folder), SIGNAL.min_token_length), SIGNAL)
+    return signals.handle_signal(known, signals.signed_tokens(known, signing(spark, folder), SIGNAL.min_token_length), signals.Thresholds(max_handle_token_channels=40))
+
+
+def naming(spark: SparkSession, folder: str) -> DataFrame:
+    """Descriptions that name the channel each one references most, by handle, link or bare id in turn."""
+    names = channels(spark, folder).select(F.col("tg_id").alias("dst"), "username")
+    top = top_targets(spark, folder).join(names, "dst").select("src", "dst", "username")
+    way = F.pmod("src", F.lit(3))
+    written = F.when(way == 0, F.concat(F.lit("by @"), F.col("username"))).when(way == 1, F.concat(F.lit("see https://t.me/"), F.col("username"), F.lit("/5."))).otherwise(F.concat(F.lit("(t.me/c/"), F.col("dst").cast("string"), F.lit("/7)")))
+    return top.where("username is not null").select(F.col("src").alias("channel_id"), written.alias("about"))
 
 
 def about_pairs(spark: SparkSession, folder: str) -> DataFrame:
     known = channels(spark, folder)
-    targets, _ = signals.description_targets(about(spark, folder), derive.usernames(known), known)
+    targets, _ = signals.description_targets(naming(spark, folder), derive.usernames(known), known)
     return signals.about_signal(targets)
 
 
@@ -353,12 +369,17 @@ def label_propagation(spark: SparkSession, folder: str) -> DataFrame:
     return communities.propagate(communities.balanced_pairs(decayed(spark, folder)))
 
 
+#: Kinds and states of channels, whose places serve as labels of two partitions.
+KINDS = ("personal", "company", "vacancies", "aggregator", "community", "media", "event")
+STATUSES = ("candidate", "seed", "maybe", "rejected")
+
+
 def kind_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return channels(spark, folder).where("kind is not null").select(F.col("tg_id").alias("node"), F.ascii(F.col("kind")).cast("bigint").alias("community"))
+    return channels(spark, folder).where("kind is not null").select(F.col("tg_id").alias("node"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).alias("community"))
 
 
 def status_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return channels(spark, folder).select(F.col("tg_id").alias("node"), F.ascii(F.col("status")).cast("bigint").alias("community"))
+    return channels(spark, folder).select(F.col("tg_id").alias("node"), F.array_position(F.array(*[F.lit(k) for k in STATUSES]), F.col("status")).alias("community"))
 
 
 def partition_nmi(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tidewire.plans.problems import BARE, PAIRS
 
+KINDS = "['personal', 'company', 'vacancies', 'aggregator', 'community', 'media', 'event']"
+STATUSES = "['candidate', 'seed', 'maybe', 'rejected']"
 NOW = "timestamp '2026-08-01 00:00:00'"
 
 INVENTORY = f"""inv as (
@@ -144,7 +146,7 @@ zs as (select l.channel_id, l.msg_id, views / exp(mlv) views_lift, (lv - mlv) /
 
 DECAYED = f"{EDGES}, d as (select src, dst, kind, sum(pow(0.5, (epoch({NOW}) - epoch_us(published_at) / 1e6) / 86400 / 180)) weight, count(*)::bigint n from e group by all)"
 
-LABELLED = f"""{INVENTORY}, {DECAYED}, lab as (select tg_id node, ascii(kind)::bigint community from inv where kind is not null),
+LABELLED = f"""{INVENTORY}, {DECAYED}, lab as (select tg_id node, coalesce(list_position({KINDS}, kind), 0)::bigint community from inv where kind is not null),
 ends2 as (select d.src, d.dst, a.community cs, b.community cd, weight, kind from d join lab a on a.node = d.src join lab b on b.node = d.dst where d.src <> d.dst),
 ends as (select src node, cs home, cd other, weight, kind from ends2 union all select dst, cd, cs, weight, kind from ends2)"""
 
@@ -194,8 +196,10 @@ from posts where grouped_id is not null group by channel_id, grouped_id having c
     "share_pairs": f"with {EDGES}, {PC}, {SHARES} select channel_a, channel_b, round(out_share, 9) out_share, out_share_edges, out_share_src from share_signal",
     "mutual_pairs": f"with {EDGES}, {PC}, {MUTUAL} select channel_a, channel_b, round(strength, 9) strength, edges_a_to_b, edges_b_to_a from mutual",
     "shared_tokens": f"with {INVENTORY}, {TOKENS}, {token_pairs('tok', 'tp', 3, 'c.n, length(x.t) desc, x.t')} select channel_a, channel_b, round((4 - n) / 3.0, 9) strength, t shared_token, n::int shared_token_channels from tp",
-    "signed_handles": f"with {INVENTORY}, {TOKENS}, {ABOUT}, {HANDLES} select channel_a, channel_b, 1.0::double strength, t handle_token, n::int handle_token_channels from hp",
-    "about_pairs": f"with {INVENTORY}, {NAMES}, {ABOUT}, {NAMED}, {TARGETS} select channel_a, channel_b, strength::double strength, about_direction from about_signal",
+    "signed_handles": f"with {INVENTORY}, {TOKENS}, {ABOUT.replace('ab as', 'stored as', 1)}, ab as (select tg_id channel_id, case when tg_id % 2 = 0 then coalesce(about, '') || ' @' || coalesce(list_filter(string_split(replace(lower(username), '-', '_'), '_'), lambda x: length(x) >= 4)[1], '?') else about end about from inv left join stored on channel_id = tg_id where username is not null), {HANDLES.replace('between 2 and 10', 'between 2 and 40')} select channel_a, channel_b, 1.0::double strength, t handle_token, n::int handle_token_channels from hp",
+    "about_pairs": f"""with {INVENTORY}, {NAMES}, {EDGES}, {PC}, top as (select src, arg_max(dst, (n, -dst)) dst from pc group by src), named as (select src, top.dst, username from top join inv on tg_id = top.dst where username is not null and (src % 3 = 2 or regexp_full_match(username, '[A-Za-z][A-Za-z0-9_]{{3,31}}'))),
+tg as (select distinct src source, t target from (select src, case when src % 3 = 2 then named.dst else names.dst end t from named left join names on uname = lower(username)) where t is not null and t <> src), {TARGETS[TARGETS.index("about_signal"):]}
+select channel_a, channel_b, strength::double strength, about_direction from about_signal""",
     "detected_pairs": f"""with recursive {PAIRS}, {INVENTORY}, {NAMES}, {TOKENS}, {ABOUT}, {NAMED}, {TARGETS}, {HANDLES}, {EDGES}, {PC}, {SHARES}, {MUTUAL},
 tok2 as (select * from tok where t not in (select t from hp)), {token_pairs("tok2", "tp", 3, "c.n, length(x.t) desc, x.t")},
 al as (select channel_a, channel_b, strength * 1.0 part, about_direction, null handle_token, null::int handle_token_channels, null::double out_share, null::bigint out_share_edges, null::bigint out_share_src, null shared_token, null::int shared_token_channels, null::bigint edges_a_to_b, null::bigint edges_b_to_a from about_signal
@@ -247,7 +251,7 @@ select channel_id, text_posts, round(list_avg(list_filter([{", ".join(z(c, t) fo
     "decayed_edges": f"with {DECAYED} select src, dst, kind, round(weight, 6) weight, n from d",
     "balanced_pairs": f"""with {DECAYED}, u as (select least(src, dst) a, greatest(src, dst) b, kind, sum(weight) w from d where src <> dst group by all), m as (select kind, sum(w) m from u group by 1)
 select a, b, round(sqrt(sum(w * (select max(m) from m) / m.m)), 5) weight from u join m using (kind) group by 1, 2""",
-    "partition_nmi": f"""with {INVENTORY}, c as (select ascii(kind) l, ascii(status) r, count(*) n from inv where kind is not null group by 1, 2), t as (select sum(n) t from c), a as (select l, sum(n) n from c group by 1), b as (select r, sum(n) n from c group by 1),
+    "partition_nmi": f"""with {INVENTORY}, c as (select list_position({KINDS}, kind) l, list_position({STATUSES}, status) r, count(*) n from inv where kind is not null group by 1, 2), t as (select sum(n) t from c), a as (select l, sum(n) n from c group by 1), b as (select r, sum(n) n from c group by 1),
 h as (select (select -sum(n / t * ln(n / t)) from a, t) hl, (select -sum(n / t * ln(n / t)) from b, t) hr, (select sum(c.n / t * ln(c.n * t / (a.n * b.n))) from c join a using (l) join b using (r), t) mi)
 select round(case when sqrt(hl * hr) > 0 then mi / sqrt(hl * hr) else 1.0 end, 6) nmi from h""",
     "inside_share": f"with {LABELLED} select home community, kind, round(sum(case when home = other then sqrt(weight) else 0 end) / sum(sqrt(weight)), 5) inside from ends group by 1, 2",
