@@ -23,6 +23,8 @@ from tidewire.session import materialise
 
 STATES = ("normal", "spike", "stuck", "out_of_range")
 CHUNK = 64
+#: Posts that a partition holds at most: some 250 MB of arrays in a Python worker.
+PARTITION_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -265,14 +267,14 @@ def contexts(rows: list, params: SpikeParams) -> dict[int, dict]:
     return out
 
 
-def flag(params: SpikeParams, around: dict[int, dict]):
+def flag(params: SpikeParams, around):
     """Pass two: probabilities, the most likely state and run length of every number that is suspicious or that an exact rule may take."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = whole(frames)
         if not len(pdf):
             return
-        near = around[int(pdf["pid"].iloc[0])]
+        near = around.value[int(pdf["pid"].iloc[0])]
         b = Block(pdf, params)
         a = step_matrices(b.likelihood(near["before"], near["after"]), b.resets(near["before"]), params)
         p = posterior(a, near["state"], near["rest"])
@@ -315,14 +317,17 @@ def flag_numbers(posts: DataFrame, source: str, position: str, params: SpikePara
     """
     m = list(params.metrics)
     keyed = posts.select(F.col(source).cast("long").alias("source"), F.col(position).cast("long").alias("position"), *[F.col(c).cast("double").alias(c) for c in m])
-    distinct = keyed.where("source is not null and position is not null").groupBy("source", "position").agg(*[F.max(c).alias(c) for c in m])
+    distinct = materialise(keyed.where("source is not null and position is not null").groupBy("source", "position").agg(*[F.max(c).alias(c) for c in m]))
     stats = group_medians(distinct, ["source"], m)
     pick = lambda c, name: F.max(F.when(F.col("metric") == c, F.col(name)))
     wide = stats.groupBy("source").agg(*[pick(c, "median").alias(f"{c}_median") for c in m], *[pick(c, "log_spread").alias(f"{c}_spread") for c in m])
-    ordered = distinct.join(wide, "source", "left").repartitionByRange("source", "position").sortWithinPartitions("source", "position")
+    spark = posts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // PARTITION_ROWS))
+    ordered = distinct.join(wide, "source", "left").repartitionByRange(parts, "source", "position").sortWithinPartitions("source", "position")
     blocks = materialise(ordered.withColumn("pid", F.spark_partition_id()))
     rows = [r.asDict() for r in blocks.mapInPandas(summarise(params), SUMMARY).collect()]  # one row a partition
-    return blocks.mapInPandas(flag(params, contexts(rows, params)), FLAGS)
+    around = spark.sparkContext.broadcast(contexts(rows, params))  # one entry a partition
+    return blocks.mapInPandas(flag(params, around), FLAGS)
 
 
 def implausible_posts(posts: DataFrame, source: str = "channel_id", position: str = "msg_id", params: SpikeParams = SpikeParams()) -> DataFrame:
