@@ -40,6 +40,29 @@ def test_windowed_readings(spark, tmp_path, rows):
     assert got == [(1, 1, 1), (1, 2, 8)]
 
 
+def test_bands_by_window(spark, tmp_path, rows):
+    source = tmp_path / "raw"
+    minutes = lambda m: datetime(2026, 8, 4, 11) + timedelta(minutes=m)
+    raw(spark, source, (1, 1, "Message", 5, minutes(12)), (1, 2, "Message", 8, minutes(14)), (1, 3, "Message", 9, minutes(50)), (1, 4, "Message", 1, minutes(-5)))
+    stream = ingest.bands_by_window(ingest.observations(ingest.raw_stream(spark, str(source))), "1 day")
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("bands").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert rows(spark.table("bands"), "band", "readings", "most_views") == [("10m", 2, 8), ("48m", 1, 9)]
+
+
+def test_sinks_read_only_the_days_of_their_batch(spark, tmp_path):
+    schema = "channel_id bigint, msg_id bigint, observed_at timestamp"
+    path, sink = str(tmp_path / "t"), ingest.append_absent(str(tmp_path / "t"), ["channel_id", "msg_id", "observed_at"], schema)
+    for day in range(4):
+        batch = spark.createDataFrame([(1, 1, T0 + timedelta(days=day)), (1, 2, None)], schema)
+        sink(batch, day)
+        sink(batch, day)
+    assert ingest.stored(spark, path, schema).count() == 5
+    near = ingest.stored_near(spark, path, schema, spark.createDataFrame([(T0.date(),)], "day date"))
+    assert near.count() == 2 and {r["day"] for r in near.select("day").distinct().collect()} == {T0.date(), datetime(1970, 1, 1).date()}
+
+
 def test_cascade_alerts_are_raised_once(spark, tmp_path, rows):
     schema = "src_channel_id bigint, dst_channel_id bigint, kind string, msg_id bigint, published_at timestamp, dst_msg_id bigint, dst_published_at timestamp"
     source, edges, out = tmp_path / "in", str(tmp_path / "edges"), str(tmp_path / "alerts")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,19 +13,23 @@ OUT = "tg_id bigint, polls bigint, consecutive_empty int, consecutive_failures i
 STATE = "polls bigint, consecutive_empty int, consecutive_failures int, last_error string"
 
 
+def since_last(stop: np.ndarray, counts: np.ndarray, before: int) -> int:
+    """How many of ``counts`` come after the last ``stop``; with no stop, those and the number before."""
+    at = np.flatnonzero(stop)
+    return int(counts[at[-1] + 1 :].sum()) if len(at) else before + int(counts.sum())
+
+
 def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Apply polls in the order of their moments; a success resets failures, new posts reset empty polls."""
     polls, empty, failures, error = state.get if state.exists else (0, 0, 0, None)
     rows = pd.concat(list(frames)).sort_values(["polled_at", "new_posts"], kind="stable")
-    for new_posts, message in zip(rows["new_posts"], rows["error"]):
-        polls += 1
-        if isinstance(message, str):
-            failures, error = failures + 1, message[:500]
-        else:
-            failures, error = 0, None
-            empty = 0 if new_posts and new_posts > 0 else empty + 1
-    state.update((int(polls), int(empty), int(failures), error))
-    yield pd.DataFrame({"tg_id": [key[0]], "polls": [polls], "consecutive_empty": [empty], "consecutive_failures": [failures], "last_error": [error]})
+    failed = rows["error"].notna().to_numpy()
+    found = ~failed & (rows["new_posts"].fillna(0) > 0).to_numpy()
+    empty = since_last(found, ~failed & ~found, empty)
+    failures = since_last(~failed, failed, failures)
+    error = rows["error"].iloc[-1][:500] if len(rows) and failed[-1] else None
+    state.update((int(polls) + len(rows), empty, failures, error))
+    yield pd.DataFrame({"tg_id": [key[0]], "polls": [int(polls) + len(rows)], "consecutive_empty": [empty], "consecutive_failures": [failures], "last_error": [error]})
 
 
 def poll_state(polls: DataFrame) -> DataFrame:
