@@ -128,19 +128,21 @@ def modularity(pairs, label):
     return inside - sum((m / (2 * total)) ** 2 for m in mass.values())
 
 
-def test_communities_cover_and_separate(spark):
-    rng = np.random.default_rng(2)
-    pairs = [(a, b, 1.0) for g in range(3) for a in range(g * 12, g * 12 + 12) for b in range(a + 1, g * 12 + 12) if rng.random() < 0.6] + [(0, 12, 1.0), (12, 24, 1.0)]
-    df = spark.createDataFrame(pairs, "a bigint, b bigint, weight double")
-    got = communities.communities(df, communities.CommunityParams(resolution=1.0, seeds=(1, 2, 3))).collect()
-    label = {r["node"]: r["community"] for r in got}
-    nodes = {x for a, b, _ in pairs for x in (a, b)}
-    assert set(label) == nodes and all(0 <= r["stability"] <= 1 for r in got)
-    assert len(set(label.values())) == 3 and modularity(pairs, label) > 0.6
-    spread = communities.communities(df, communities.CommunityParams(local_edges=10)).collect()
-    assert {r["node"] for r in spread} == nodes and {r["stability"] for r in spread} == {None}
-    flat = {r["node"]: r["community"] for r in spread}
-    assert modularity(pairs, flat) > 0.3
+def test_propagation_settles(spark):
+    """Labels end where no node would move: long paths, pairs that could swap for ever, separate groups."""
+    groups = [(a, b, 1.0) for g in range(3) for a in range(g * 10, g * 10 + 10) for b in range(a + 1, g * 10 + 10)]
+    path = [(i, i + 1, 1.0) for i in range(100, 160)] + [(200, 201, 1.0)]
+    got = {r["node"]: r["community"] for r in communities.propagate(spark.createDataFrame(groups + path, "a bigint, b bigint, weight double")).collect()}
+    assert [len({got[n] for n in range(g * 10, g * 10 + 10)}) for g in range(3)] == [1, 1, 1] and got[0] != got[10]
+    for node in range(101, 160):
+        assert got[node] in (got[node - 1], got[node + 1])
+    assert got[200] == got[201]
+
+
+def test_communities_hold_together(spark, rows):
+    labels = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.5), (5, 1, 0.5), (6, 1, 0.5), (7, 7, 1.0)], "node bigint, community bigint, stability double")
+    pairs = spark.createDataFrame([(1, 2, 1.0), (5, 6, 1.0), (6, 7, 1.0)], "a bigint, b bigint, weight double")
+    assert rows(communities.connected(labels, pairs), "node", "community") == [(1, 1), (2, 1), (5, 5), (6, 5), (7, 7)]
 
 
 def test_stability_counts_all_mates(spark, rows):

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.timing import decay
+from tidewire.operators.families import closure
 from tidewire.session import materialise
 
 
 @dataclass(frozen=True)
 class CommunityParams:
     half_life_days: float = 180.0
-    rounds: int = 12
     resolution: float = 1.6
     local_edges: int = 2_000_000
     seeds: tuple[int, ...] = tuple(range(50))  # the first gives the partition, all of them its stability
@@ -37,64 +37,28 @@ def balanced_pairs(decayed: DataFrame) -> DataFrame:
     return scaled.groupBy("a", "b").agg(F.sqrt(F.sum("w")).alias("weight"))
 
 
-def propagate(pairs: DataFrame, rounds: int = 12) -> DataFrame:
-    """node, community by weighted label propagation: a node takes the heaviest label around it, the least of equal ones.
+def propagate(pairs: DataFrame) -> DataFrame:
+    """node, community by weighted label propagation: a node takes the heaviest label around it, the least of equal ones, where that outweighs its own.
 
-    Odd and even nodes move in turn, so pairs cannot swap labels for ever. Labels are summed by (node, label) with
+    Nodes move in rounds, about half of them at a time by a draw of its own each round, so that neighbours cannot swap labels
+    for ever; the end is a round in which no node, drawn or not, would move. Labels are summed by (node, label) with
     map-side combine, so a node with a third of all edges gathers at most its distinct labels.
     """
     both = materialise(pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight")).toDF("node", "other", "weight"))
     labels = materialise(both.select("node").distinct().withColumn("label", F.col("node")))
-    for i in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("node").agg(F.max(F.struct(F.round("w", 9).alias("w"), (-F.col("label")).alias("l"))).alias("t")).select("node", (-F.col("t.l")).alias("new"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        moved = labels.join(best, "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("label"), (turn & (F.col("new") != F.col("label"))).alias("moved"))
-        moved = materialise(moved)
-        labels = moved.select("node", "label")
-        if i % 2 and not moved.where("moved").limit(1).count():
-            break
-    return labels.withColumnRenamed("label", "community")
-
-
-def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and communities of a small weighted graph: greedy modularity moves, then the same on merged communities."""
-    nodes, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = codes[: len(a)], codes[len(a) :]
-    member = np.arange(len(nodes))
-    rng = np.random.default_rng(seed)
+    turn = 0
     while True:
-        n = member.max() + 1 if len(member) else 0
-        near: list[dict[int, float]] = [{} for _ in range(n)]
-        for i, j, v in zip(x.tolist(), y.tolist(), w.tolist()):
-            near[i][j] = near[i].get(j, 0.0) + v
-            if i != j:
-                near[j][i] = near[j].get(i, 0.0) + v
-        degree = np.array([sum(v if j != i else 2 * v for j, v in d.items()) for i, d in enumerate(near)])
-        total = degree.sum()
-        if not total:
-            return nodes, member
-        home, mass, changed = list(range(n)), degree.copy(), False
-        for _ in range(20):
-            moves = 0
-            for i in rng.permutation(n).tolist():
-                links: dict[int, float] = {}
-                for j, v in near[i].items():
-                    if j != i:
-                        links[home[j]] = links.get(home[j], 0.0) + v
-                mass[home[i]] -= degree[i]
-                gain = lambda c: links.get(c, 0.0) - resolution * degree[i] * mass[c] / total  # noqa: B023, E731
-                best = max(sorted({home[i], *links}), key=lambda c: (gain(c), c == home[i]))
-                moves += best != home[i]
-                home[i] = best
-                mass[best] += degree[i]
-            changed |= moves > 0
-            if not moves:
-                break
-        _, renamed = np.unique(home, return_inverse=True)
-        if not changed:
-            return nodes, member
-        member, x, y = renamed[member], renamed[x], renamed[y]
+        votes = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", "weight", F.lit(False).alias("own"))
+        votes = votes.union(labels.select("node", "label", F.lit(0.0), F.lit(True))).groupBy("node", "label").agg(F.round(F.sum("weight"), 9).alias("w"), F.max("own").alias("own"))
+        mine = lambda c: F.max(F.when(F.col("own"), F.col(c)))
+        best = votes.groupBy("node").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("t"), mine("w").alias("mine"), mine("label").alias("own"))
+        wants = F.col("t.w") > F.col("mine")
+        drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        moved = materialise(best.select("node", F.when(wants & drawn, -F.col("t.l")).otherwise(F.col("own")).alias("label"), wants.alias("wants")))
+        labels = moved.select("node", "label")
+        if not moved.where("wants").limit(1).count():
+            return labels.withColumnRenamed("label", "community")
+        turn += 1
 
 
 PRIME = 2_147_483_629
@@ -209,15 +173,26 @@ def modularity_runs(pairs: DataFrame, p: CommunityParams = CommunityParams()) ->
     return member.join(least, ["seed", "at"]).select("seed", "node", "community")
 
 
+def connected(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Labels (node, community, ...) with every community split into the parts that pairs inside it connect, each named for its least node."""
+    home = labels.select("node", "community")
+    within = pairs.join(home.toDF("a", "ca"), "a").join(home.toDF("b", "cb"), "b").where("ca = cb")
+    parts = closure(within).toDF("node", "part")
+    rest = [c for c in labels.columns if c not in ("node", "community")]
+    return labels.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("community"), *rest)
+
+
 def partition(pairs: DataFrame, p: CommunityParams = CommunityParams()) -> DataFrame:
     """node, community (its least node), stability: one method, greedy modularity in rounds, for graphs of every size.
 
+    A community that is not connected by its own pairs is split into its connected parts, so each one holds together.
+
     A graph of at most ``local_edges`` pairs makes the rounds of a seed in one task, a larger one over the cluster; rounds, draws
     and ends are the same, so this choice does not change what comes out.
     """
     kept = materialise(pairs.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double")))
     if kept.limit(p.local_edges + 1).count() > p.local_edges:
-        return with_stability(materialise(modularity_runs(kept, p)), p.seeds[0])
+        return connected(with_stability(materialise(modularity_runs(kept, p)), p.seeds[0]), kept)
 
     parts = min(len(p.seeds), pairs.sparkSession.sparkContext.defaultParallelism)  # copies of the graph, each for some seeds
 
@@ -230,29 +205,7 @@ def partition(pairs: DataFrame, p: CommunityParams = CommunityParams()) -> DataF
         return pd.concat(out)
 
     every = kept.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(parts)]))).repartitionById(parts, F.col("part"))
-    return with_stability(materialise(every.groupBy("part").applyInPandas(run, "seed int, node long, community long")), p.seeds[0])
-
-
-def communities(pairs: DataFrame, p: CommunityParams = CommunityParams()) -> DataFrame:
-    """node, community (its least node), stability: how alike the partitions of all seeds place the node's community-mates.
-
-    The single-task form, kept as a check of ``partition`` on small graphs; no query uses it. A graph of at most
-    ``local_edges`` pairs, which is counted first, is partitioned by greedy modularity, one task a seed; a larger one by
-    label propagation, whose stability is null.
-    """
-    kept = materialise(pairs.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double")))
-    if kept.limit(p.local_edges + 1).count() > p.local_edges:
-        return propagate(kept, p.rounds).withColumn("stability", F.lit(None).cast("double"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        nodes, member = louvain(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["weight"].to_numpy(), p.resolution, int(pdf["seed"].iloc[0]))
-        least = pd.Series(nodes).groupby(member).transform("min")
-        return pd.DataFrame({"seed": int(pdf["seed"].iloc[0]), "node": nodes, "community": least.to_numpy()})
-
-    every = kept.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in p.seeds])))
-    runs = materialise(every.groupBy("seed").applyInPandas(run, "seed int, node long, community long"))
-    return with_stability(runs, p.seeds[0])
+    return connected(with_stability(materialise(every.groupBy("part").applyInPandas(run, "seed int, node long, community long")), p.seeds[0]), kept)
 
 
 def with_stability(runs: DataFrame, base: int) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,15 +21,39 @@ def build(master: str | None = None, app: str = "tidewire", **conf: str) -> Spar
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    if not is_local(spark):
+        ship(spark)
+    return spark
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, which share its folders."""
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the cluster names in ``spark.checkpoint.dir``; make one only where none is set."""
+    """Keep the folder the cluster names in ``spark.checkpoint.dir``; in a single process without one make a temporary one.
+
+    Raises on a cluster that names none: its executors would each write to a disk of their own.
+    """
     context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewire-checkpoint-"))
+    if not named and not is_local(spark):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewire-checkpoint-"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it by name; it is zipped into Spark's own folder."""
+    package = Path(__file__).resolve().parent
+    archive = Path(SparkFiles.getRootDirectory(), "tidewire.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def materialise(df: DataFrame) -> DataFrame:
