@@ -273,7 +273,7 @@ def community_sheet(labels: DataFrame, channels: DataFrame, members: int = 6) ->
     return labels.groupBy("community").agg(F.count("*").alias("size")).join(kinds, "community", "left").join(named, "community", "left")
 
 
-def term_odds(texts: DataFrame, group: str, text: str, top: int = 5, pattern: str = r"[а-яёa-z]{4,}", parts: float = 4, most_floor: int = 3) -> DataFrame:
+def term_odds(texts: DataFrame, group: str, text: str, top: int = 5, pattern: str = r"\p{L}{4,}", parts: float = 4, most_floor: int = 3) -> DataFrame:
     """The terms that set a group's texts apart: log odds of document frequency inside against outside, the first few.
 
     A term needs max(2, size/parts) documents of its group, at most ``most_floor``. Distinct terms a document.

@@ -258,7 +258,7 @@ select round(case when sqrt(hl * hr) > 0 then mi / sqrt(hl * hr) else 1.0 end, 6
     "outward_lean": f"""with {LABELLED}, o as (select node, home, other, sqrt(sum(weight)) w from ends where home <> other group by all)
 select node, home community, other leans_to, round(w / t, 4) lean from (select *, sum(w) over (partition by node) t, row_number() over (partition by node, home order by round(w, 9) desc, other) rn from o) where rn = 1""",
     "bridge_nodes": f"with {LABELLED} select node, home community, count(*)::bigint partners, round(sum(case when home = other then weight else 0 end) / sum(weight), 5) inside_share from ends group by 1, 2 having count(*) >= 5",
-    "term_odds": """with t as (select doc_id, doc_type, unnest(list_distinct(regexp_extract_all(lower(text), '[а-яёa-z]{4,}'))) term from documents where text is not null and doc_type is not null),
+    "term_odds": """with t as (select doc_id, doc_type, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}{4,}'))) term from documents where text is not null and doc_type is not null),
 i as (select doc_type, term, count(*) n from t group by all), a as (select term, sum(n) a from i group by 1), s as (select doc_type, count(*) size, sum(count(*)) over () total from documents where text is not null and doc_type is not null group by 1),
 o as (select doc_type, term, n::bigint n, round(ln((n + 0.5) / (size - n + 0.5) / ((a - n + 0.5) / (total - size - a + n + 0.5))), 6) odds from i join a using (term) join s using (doc_type) where n >= least(3, greatest(2, floor(size / 4))))
 select doc_type, rank::int rank, term, n, odds from (select *, row_number() over (partition by doc_type order by odds desc, term) rank from o) where rank <= 5""",

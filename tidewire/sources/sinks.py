@@ -60,3 +60,12 @@ def markdown(df: DataFrame) -> DataFrame:
 
 def markdown_heading(columns: list[str]) -> list[str]:
     return ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
+
+
+def document(spark, sections: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Titled tables as the lines of one Markdown document in order; a table without rows says so. The tables are small."""
+    lines: list[str] = []
+    for title, df in sections:
+        rows = [r["line"] for r in markdown(df).collect()]
+        lines += [f"## {title}", "", *([*markdown_heading(df.columns), *rows] if rows else ["Nothing."]), ""]
+    return spark.createDataFrame(list(enumerate(lines)), "place int, line string").coalesce(1).orderBy("place").select("line")
