@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +26,62 @@ def current_pairs(candidates: DataFrame) -> DataFrame:
     return last.select("a", "b", F.col("last.run_id").alias("run_id"), F.col("last.decision").alias("decision"))
 
 
+def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct vertices of the edges and the least vertex of each one's component among them."""
+    vertices, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = codes[: len(a)], codes[len(a) :]
+    parent = np.arange(len(vertices))
+    while True:
+        px, py = parent[x], parent[y]
+        differ = px != py
+        if not differ.any():
+            return vertices, vertices[parent]
+        x, y, low, high = x[differ], y[differ], np.minimum(px, py)[differ], np.maximum(px, py)[differ]
+        np.minimum.at(parent, high, low)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+
+
+#: Pairs that a task contracts at a time: some tens of MB in a Python worker.
+PIECE = 500_000
+
+
+def local_stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of a partition, contracted piece by piece to stars around the least vertex: what a combiner does for sums."""
+    held, size = [], 0
+
+    def stars() -> pd.DataFrame:
+        rows = pd.concat(held)
+        vertices, least = union_find(rows["a"].to_numpy(), rows["b"].to_numpy())
+        return pd.DataFrame({"a": vertices, "b": least})[vertices != least]
+
+    for pdf in frames:
+        held.append(pdf)
+        size += len(pdf)
+        if size >= PIECE:
+            yield stars()
+            held, size = [], 0
+    if size:
+        yield stars()
+
+
 def closure(pairs: DataFrame) -> DataFrame:
     """vertex, component (the least vertex reached) of linked pairs (a, b), by large and small stars in turn.
 
     A large star links a vertex's greater neighbours to the least of its neighbourhood, a small star its lesser ones; both
     keep components and shorten paths, until every component is one star around its least vertex. Each step is a combined
-    minimum and a join; repeated pairs count once, loops link nothing, no pairs give no rows.
+    minimum and a join. Partitions are contracted by themselves first, so the steps join them rather than find each path.
+    Repeated pairs count once, loops and nulls link nothing, no pairs give no rows.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = lambda rows: rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     tidy = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38, 0)")).alias("h")).first()
-    edges = materialise(tidy(pairs.select("a", "b").where("a is not null and b is not null")))
+    plain = pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    edges = materialise(tidy(plain.mapInPandas(local_stars, "a bigint, b bigint")))
     before, now = None, state(edges)
     while now != before:
         near = both(edges)
