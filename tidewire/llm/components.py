@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.families import current_pairs
+from tidewire.operators.families import current_pairs, union_find
 from tidewire.session import materialise
 
 #: Edges that one cell is meant to hold and that a piece of a cell holds at most: some tens of MB in a Python worker.
@@ -33,25 +33,6 @@ FIRST_GRID = 4
 HOT = 4
 
 
-def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct vertices of the edges and the least vertex of each one's local component."""
-    vertices, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = codes[: len(a)], codes[len(a) :]
-    parent = np.arange(len(vertices))
-    while True:
-        px, py = parent[x], parent[y]
-        differ = px != py
-        if not differ.any():
-            return vertices, vertices[parent]
-        x, y, low, high = x[differ], y[differ], np.minimum(px, py)[differ], np.maximum(px, py)[differ]
-        np.minimum.at(parent, high, low)
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-
-
 def cells(limit: int):
     """Local union-find of the cells of a partition, which come one after the other; no piece exceeds ``limit`` by more than a batch."""
 
