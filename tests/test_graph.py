@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidewire.operators import cascades, derive, queues, signals
+from tidewire.operators import cascades, derive, queues, records, signals
 from tidewire.sources import store
 
 T0 = datetime(2026, 8, 4, 12)
@@ -134,10 +134,10 @@ def test_queues(spark, rows):
     assert [r["tg_id"] for r in queues.due(channels, state, now).collect()] == [4, 3, 1]
     assert tuple(queues.lag(channels, state, now).select("overdue", "tracked").first()) == (3, 3)
     assert [r["due_at"] for r in queues.postpone(state, F.lit(T0)).orderBy("tg_id").collect()] == [T0, T0 + timedelta(hours=1), T0]
-    polled = spark.createDataFrame([(1, 2, 0, None), (2, 0, 3, "old")], "tg_id bigint, consecutive_empty int, consecutive_failures int, last_error string").withColumn("last_polled_at", F.lit(None).cast("timestamp"))
-    polls = spark.createDataFrame([(1, T0, 0, "boom" * 300), (2, T0, 0, None), (3, T0, 5, None)], "tg_id bigint, polled_at timestamp, new_posts int, error string")
-    got = {r["tg_id"]: (r["consecutive_empty"], r["consecutive_failures"], r["last_error"] and len(r["last_error"])) for r in queues.record_poll(polled, polls).collect()}
-    assert got == {1: (2, 1, 500), 2: (1, 0, None), 3: (0, 0, None)}
+    polled = spark.createDataFrame([(1, 2, 0, None, 1.5), (2, 0, 3, "old", 1.5)], "channel_id bigint, consecutive_empty int, consecutive_failures int, last_error string, posts_per_day double").withColumns({c: F.lit(None).cast("timestamp") for c in ("due_at", "last_polled_at", "posts_per_day_at")})
+    polls = spark.createDataFrame([(1, T0, T0, None, False, "boom"), (2, T0, T0, 4.0, True, None), (3, T0, T0, None, False, None)], "channel_id bigint, at timestamp, due_at timestamp, posts_per_day double, found_nothing boolean, error string")
+    got = {r["channel_id"]: (r["consecutive_empty"], r["consecutive_failures"], r["last_error"], r["posts_per_day"]) for r in records.record_polls(polled, polls).collect()}
+    assert got == {1: (2, 1, "boom", 1.5), 2: (1, 0, None, 4.0), 3: (0, 0, None, None)}
     with pytest.raises(ValueError):
         queues.mark(spark.createDataFrame([(1, "seed", None, None)], "tg_id bigint, status string, kind string, reject_reason string"), spark.createDataFrame([(1, "rejected", None, None)], "tg_id bigint, status string, kind string, reason string"))
     pairs = queues.all_pairs(spark.createDataFrame([("f", 3), ("f", 1), ("f", 2), ("f", 2)], "group string, tg_id bigint"))

@@ -45,17 +45,6 @@ def posts_per_day(posts: DataFrame, now: Column, days: int = 30) -> DataFrame:
     return posts.where((age >= 0) & (age < days * 86_400)).groupBy("channel_id").agg((F.count("*") / F.lit(float(days))).alias("posts_per_day"))
 
 
-def record_poll(state: DataFrame, polls: DataFrame) -> DataFrame:
-    """State after polls (tg_id, polled_at, new_posts, error): counters of empty and failed polls reset on success."""
-    rows = state.join(polls.withColumnsRenamed({"error": "_error"}), "tg_id", "full")
-    polled, failed = F.col("polled_at").isNotNull(), F.col("_error").isNotNull()
-    old = lambda c: F.coalesce(c, F.lit(0))
-    empty = F.when(~polled | failed, old("consecutive_empty")).when(F.col("new_posts") > 0, 0).otherwise(old("consecutive_empty") + 1)
-    failures = F.when(~polled, old("consecutive_failures")).when(failed, old("consecutive_failures") + 1).otherwise(0)
-    error = F.when(~polled, F.col("last_error")).otherwise(F.substring("_error", 1, 500))
-    return rows.select("tg_id", F.coalesce("polled_at", "last_polled_at").alias("last_polled_at"), empty.alias("consecutive_empty"), failures.alias("consecutive_failures"), error.alias("last_error"))
-
-
 def postpone(state: DataFrame, until: Column) -> DataFrame:
     """Move every due moment to ``until`` or later; none moves back."""
     return state.withColumn("due_at", F.greatest("due_at", until))
@@ -180,11 +169,6 @@ def outstanding(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.count_if(open_).alias("outstanding"), F.count_if(open_ & (F.col("attempts") == 0)).alias("untried"), F.count_if(open_ & F.col("last_error").isNotNull()).alias("failing"), F.min(F.when(open_, F.col("raised_at"))).alias("oldest"))
 
 
-def verdicts(feedback: DataFrame) -> DataFrame:
-    """The latest verdict of each alert."""
-    return feedback.groupBy("alert_id").agg(F.max_by("verdict", F.struct("given_at", "verdict")).alias("verdict"), F.max("given_at").alias("given_at"))
-
-
 def flood_summary(floods: DataFrame) -> DataFrame:
     """Rate limits by method: how many, the longest wait, the last moment."""
     return floods.groupBy("method").agg(F.count("*").alias("floods"), F.max("seconds").alias("longest"), F.max("at").alias("last_at"))

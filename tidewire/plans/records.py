@@ -12,7 +12,7 @@ from tidewire.functions import payload, text, timing
 from tidewire.operators import baselines, cascades, families, queues, records, signals
 from tidewire.plans import domain
 from tidewire.plans.domain import at, channels, epoch, raw
-from tidewire.plans.domain_sql import EDGES, INVENTORY, MESSAGES, PC, POSTS, READINGS, REPOSTS, SHARES
+from tidewire.plans.domain_sql import EDGES, INVENTORY, MESSAGES, NAMES, PC, POSTS, READINGS, REPOSTS, SHARES
 from tidewire.plans.problems import PAIRS
 from tidewire.sources import store
 from tidewire.sources.tables import table
@@ -88,6 +88,32 @@ def rederived_edges(spark: SparkSession, folder: str) -> DataFrame:
     return derive.missing_edges(found, held).select(*derive.KEY)
 
 
+def linked_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of messages that link, behind a text, the channel their channel references most: by bare id, by an unknown id or by name."""
+    from tidewire.operators import derive
+
+    names = channels(spark, folder).select(F.col("tg_id").alias("dst"), "username")
+    top = domain.top_targets(spark, folder).join(names, "dst", "left").select(F.col("src").alias("channel_id"), "dst", "username")
+    rows = raw(spark, folder).groupBy("channel_id", "msg_id").agg(F.min("fetched_at").alias("fetched_at")).join(top, "channel_id")
+    url = F.when(every("msg_id", 3), F.concat(F.lit("t.me/c/"), F.col("dst").cast("string"), F.lit("/7"))).when(every("msg_id", 3, 1), F.lit("https://t.me/c/999/7")).otherwise(F.concat(F.lit("https://t.me/"), F.col("username"), F.lit("/9")))
+    entity = F.struct(F.lit("MessageEntityTextUrl").alias("_"), F.lit(0).alias("offset"), F.lit(8).alias("length"), url.alias("url"))
+    message = F.struct(F.lit("Message").alias("_"), F.lit("2026-01-01T00:00:00+00:00").alias("date"), F.lit("see this").alias("message"), F.array(entity).alias("entities"))
+    found = derive.derive(rows.select("channel_id", "msg_id", F.to_json(message).alias("payload"), "fetched_at"), table(spark, folder, "channels")).edges
+    return found.select(*derive.KEY)
+
+
+def pending_source_count(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: (name, mentioner) pairs that wait for a name to be resolved."""
+    from tidewire.operators import derive
+
+    return derive.derive(raw(spark, folder), table(spark, folder, "channels")).pending.agg(F.count("*").alias("pairs"))
+
+
+def latest_observations(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest reading of each channel."""
+    return payload.observations(raw(spark, folder)).groupBy("channel_id").agg(F.max("observed_at").alias("observed_at")).select("channel_id", epoch("observed_at"))
+
+
 def truncated_store(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each table after the derived ones are emptied."""
     kept = records.truncated({n: table(spark, folder, n) for n in ("edges", "raw_messages", "channels")})
@@ -318,7 +344,7 @@ def odd_counters(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        next_polls, quiet_hours, digests_due, age_phrases, stored_observations, newly_discovered, rederived_edges, truncated_store, upserted_channels, upsert_counts, linked_chats, created_channels, resolution_attempts,
+        next_polls, quiet_hours, digests_due, age_phrases, stored_observations, newly_discovered, rederived_edges, linked_edges, pending_source_count, latest_observations, truncated_store, upserted_channels, upsert_counts, linked_chats, created_channels, resolution_attempts,
         pending_after_failures, known_names, cursors_after, upserted_candidates, poll_records, postponed_polls, verdict_records, recent_floods, latest_floods, flood_summary, deliveries, outstanding_alerts, claimed_alerts,
         delivery_plan, raised_bands, new_cascades, default_cascades, rendered_alerts, family_decisions, marked_channels, healthy_scope, encoded_payloads, odd_counters,
     )
@@ -352,6 +378,12 @@ select channel_id, hour(b) >= 8 and a::date < b::date due, h >= 20 first_ever fr
     "stored_observations": f"select distinct channel_id, msg_id, epoch(fetched_at)::bigint observed_at from raw_messages where payload::json->>'_' = 'Message' and fetched_at >= {S}".replace("epoch(fetched_at)::bigint", "(epoch_us(fetched_at) // 1000000)::bigint"),
     "newly_discovered": f"with {MESSAGES.replace('), names as', ' and (tg_id % 3 <> 0 or tg_id in (select channel_id from raw_messages))), names as', 1)} select distinct dst tg_id, 'forward' discovered_via from fwd where dst not in (select tg_id from inv)",
     "rederived_edges": f"with {MESSAGES} select distinct src src_channel_id, msg_id, kind, dst dst_channel_id, dst_msg_id from every where msg_id % 2 <> 0",
+    "linked_edges": f"""with {INVENTORY}, {NAMES}, {EDGES}, {PC}, top as (select src, arg_max(dst, (n, -dst)) dst from pc group by src),
+m as (select distinct r.channel_id, msg_id, top.dst, regexp_replace(lower(trim(i.username)), '^@', '') u from raw_messages r join inv s on s.tg_id = r.channel_id and s.status in ('candidate', 'seed', 'maybe') and not s.is_chat join top on top.src = r.channel_id left join inv i on i.tg_id = top.dst),
+t as (select channel_id, msg_id, case msg_id % 3 when 0 then (select tg_id from inv where tg_id = m.dst) when 1 then (select tg_id from inv where tg_id = 999) else n.dst end dst, case msg_id % 3 when 2 then 9 else 7 end::bigint p from m left join names n on n.uname = m.u and regexp_full_match(m.u, '[a-z][a-z0-9_]{{3,31}}'))
+select channel_id src_channel_id, msg_id, 'mention' kind, dst dst_channel_id, p dst_msg_id from t where dst is not null and dst <> channel_id""",
+    "pending_source_count": f"with {MESSAGES} select count(*)::bigint pairs from (select distinct uname, src from resolved where dst is null)",
+    "latest_observations": "select channel_id, (epoch_us(max(fetched_at)) // 1000000)::bigint observed_at from raw_messages where payload::json->>'_' = 'Message' group by 1",
     "truncated_store": "select 'edges' name, 0::bigint n union all select 'raw_messages', count(*)::bigint from raw_messages union all select 'channels', count(*)::bigint from channels",
     "upserted_channels": f"""with {FULL}, {IMPORTED} select coalesce(i.tg_id, b.tg_id) tg_id, case when b.tg_id is null then i.username else b.username end username, case when b.tg_id is null then i.title else b.title end title, case when i.tg_id is null then 'candidate' else i.status end status,
   case when i.tg_id is null then 'import' else i.discovered_via end discovered_via, (epoch_us(coalesce(i.resolved_at, case when b.username is not null then b.ts end)) // 1000000)::bigint resolved_at from inv i full join batch b on b.tg_id = i.tg_id""",
