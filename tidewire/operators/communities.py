@@ -30,7 +30,7 @@ def decayed_pairs(edges: DataFrame, now: Column, half_life_days: float = 180.0)
 
 def balanced_pairs(decayed: DataFrame) -> DataFrame:
     """a, b, weight: undirected pairs, kinds scaled to equal mass, the sum damped by a square root."""
-    pairs = decayed.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "kind").agg(F.sum("weight").alias("w"))
+    pairs = materialise(decayed.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "kind").agg(F.sum("weight").alias("w")))  # read three times
     mass = pairs.groupBy("kind").agg(F.sum("w").alias("m"))  # one row a kind
     top = mass.agg(F.max("m").alias("top"))
     scaled = pairs.join(F.broadcast(mass.crossJoin(top)), "kind").withColumn("w", F.col("w") * F.col("top") / F.col("m"))
@@ -74,44 +74,150 @@ def drawn_number(seed: Column | int, node: Column | np.ndarray, turn: int, mod=F
 TIES, PATIENCE, SLOWER = 1_000_003, 6, 8
 
 
-def settled(a: np.ndarray, b: np.ndarray, w: np.ndarray, seed: int, resolution: float) -> tuple[np.ndarray, np.ndarray]:
-    """``modularity_runs`` for one seed in one task: the same rounds, draws and ends on arrays. Nodes and labels."""
+#: Entries that are judged at once, so that their arrays stay in a core's cache.
+BLOCK = 1 << 17
+
+
+def remainder(x: np.ndarray, by: int) -> np.ndarray:
+    """As ``np.mod``; dividing by a constant takes a fraction of its time."""
+    return x - x // by * by
+
+
+def ordered(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys below ``most`` and where each comes from, equal ones in their order; one sort of key and place together if 63 bits hold both."""
+    bits = len(keys).bit_length()
+    if most << bits < 1 << 63:
+        both = np.sort(keys << bits | np.arange(len(keys)))
+        return both >> bits, both & (1 << bits) - 1
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
+
+
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct one of sorted keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+
+
+def merged(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Undirected pairs of codes below ``n``, the lesser first, in order and each once with its sum."""
+    shift = n.bit_length()
+    keys, order = ordered(np.minimum(x, y) << shift | np.maximum(x, y), n << shift)
+    heads = firsts(keys)
+    return keys[heads] >> shift, keys[heads] & (1 << shift) - 1, np.add.reduceat(w[order], heads) if len(heads) else w
+
+
+def neighbours(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the entries of each node begin, their other ends and weights; the first of a node is itself, with weight 0."""
+    apart = x != y
+    x, y, w = x[apart], y[apart], w[apart]
+    node, order = ordered(np.concatenate([np.arange(n), x, y]), n)
+    return np.searchsorted(node, np.arange(n + 1)), np.concatenate([np.arange(n), y, x])[order], np.concatenate([np.zeros(n), w, w])[order]
+
+
+def coded(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, tuple, tuple]:
+    """Sorted nodes, the pairs as places among them and the neighbours of each: what the runs of all seeds begin with."""
     ids, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-    nodes, member, x, y, total = ids, np.arange(len(ids)), codes[: len(a)], codes[len(a) :], 2 * w.sum()
+    pairs = merged(codes[: len(a)], codes[len(a) :], w, len(ids))
+    return ids, pairs, neighbours(*pairs, len(ids))
+
+
+def entries(nodes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of some nodes, one node after the other: the place among ``nodes``, and among all entries."""
+    size = begin[nodes + 1] - begin[nodes]
+    row = np.repeat(np.arange(len(nodes)), size)
+    return row, np.arange(len(row)) + (begin[nodes] - np.cumsum(size) + size)[row]
+
+
+def chosen(nodes: np.ndarray, around: tuple, home: np.ndarray, degree: np.ndarray, mass: np.ndarray, ties: np.ndarray, pull: float) -> tuple[np.ndarray, np.ndarray]:
+    """The community of most gain for each of ``nodes``, its own before others of equal gain, then by draw; and how far any other lies below."""
+    begin, other, w = around
+    shift = len(home).bit_length()
+    mask, to, ahead = (1 << shift) - 1, home[nodes], np.empty(len(nodes))
+    block = np.cumsum(begin[nodes + 1] - begin[nodes]) // BLOCK
+    cuts = [*firsts(block).tolist(), len(nodes)]
+    for low, high in zip(cuts, cuts[1:]):
+        some = nodes[low:high]
+        row, at = entries(some, begin)
+        keys = row << shift
+        keys |= home[other[at]]
+        keys, order = ordered(keys, len(some) << shift)
+        heads = firsts(keys)
+        keys = keys[heads]
+        links = np.add.reduceat(w[at[order]], heads)
+        row, c = keys >> shift, keys & mask
+        heads = firsts(row)
+        own = np.flatnonzero(c == to[low:high][row])  # one a row, by the entry of the node itself
+        mine, rest = degree[some], mass[c]
+        rest[own] -= mine
+        rest *= (mine * pull)[row]
+        links -= rest
+        links *= 1e9
+        gain = np.rint(links, out=links)
+        stay = gain[own]
+        gain[own] = -np.inf
+        most = np.maximum.reduceat(gain, heads)
+        ahead[low:high] = stay - np.maximum(most, 0)  # a community without links gains 0 at most
+        wants = np.flatnonzero(most > stay)
+        if len(wants):
+            size = np.diff(heads, append=len(row))[wants]
+            row = np.repeat(np.arange(len(wants)), size)
+            at = np.arange(len(row)) + (heads[wants] - np.cumsum(size) + size)[row]
+            gain, c = gain[at], c[at]
+            best = np.flatnonzero(gain == most[wants][row])
+            to[low + wants] = goal = np.maximum.reduceat(ties[c[best]] << shift | c[best], firsts(row[best])) & mask
+            gain[best[c[best] == goal[row[best]]]] = -np.inf
+            second = np.maximum.reduceat(gain, firsts(row))
+            ahead[low + wants] = most[wants] - np.maximum(np.maximum(second, stay[wants]), 0)
+    return to, ahead / 1e9
+
+
+def settled(ids: np.ndarray, pairs: tuple, around: tuple, seed: int, resolution: float) -> np.ndarray:
+    """``modularity_runs`` for one seed in one task: the same rounds, draws and ends on the arrays of ``coded``. A label for each of ``ids``.
+
+    Only drawn nodes are judged, as no other can move, and of these only the ones that may want to: a judged node keeps how far its
+    community lies ahead of any other, less what moves of neighbours and changes of mass can have taken from that since.
+    The weight inside communities follows from the moves. Where no node would move, the rounds end by patience with the same best one.
+    """
+    (x, y, w), member = pairs, np.arange(len(ids))
+    total = 2 * w.sum()
     while total:
-        n, apart = len(ids), x != y
-        node, other, ww = np.concatenate([x[apart], y[apart]]), np.concatenate([y[apart], x[apart]]), np.tile(w[apart], 2)
-        degree = np.bincount(node, ww, n) + 2 * np.bincount(x[~apart], w[~apart], n)
-        home, each, best, turn = np.arange(n), np.arange(n), None, 0
-        ties = drawn_number(seed, ids, TIES, np.mod)
+        n, pull = len(ids), resolution / total
+        degree = np.bincount(x, w, n) + np.bincount(y, w, n)
+        home, inside, best, turn = np.arange(n), 0.0, None, 0
+        ties = drawn_number(seed, ids, TIES, remainder)
+        mass, lost = degree, 0.0  # lost: what a community lost of its mass at most, summed over the rounds
+        ahead, then, since = np.full(n, -np.inf), np.zeros(n), np.zeros(n)  # as judged last, with the mass of the rest of its community and ``lost`` then
         while True:
-            mass = np.bincount(home, degree, n)
-            keys, at = np.unique(np.concatenate([node * n + home[other], each * n + home]), return_inverse=True)
-            links = np.bincount(at, np.concatenate([ww, np.zeros(n)]))
-            i, c = np.divmod(keys, n)
-            own = c == home[i]
-            gain = np.round(links - resolution * degree[i] * (mass[c] - own * degree[i]) / total, 9)
-            heads = np.flatnonzero(np.diff(i, prepend=-1))
-            rank = np.where(gain == np.maximum.reduceat(gain, heads)[i], np.where(own, PRIME, ties[c]) * n + c, -1)
-            to = np.maximum.reduceat(rank, heads) % n
-            q = (links[own] - resolution * degree * mass[home] / total).sum()
-            wants = to != home
-            moves = wants & (drawn_number(seed, ids, turn, np.mod) % 2 ** (1 + turn // SLOWER) == 0)
+            q = inside - pull * (mass * mass).sum()
             if best is None or q > best[0] + 1e-9 * total:
                 best, kept = (q, turn), home
-            home = np.where(moves, to, home)
-            if not wants.any() or turn - best[1] >= PATIENCE:
+            if turn - best[1] >= PATIENCE:
                 break
+            drawn = np.flatnonzero(drawn_number(seed, ids, turn, remainder) & (1 << 1 + turn // SLOWER) - 1 == 0)
+            taken = pull * degree[drawn] * (mass[home[drawn]] - degree[drawn] - then[drawn] + lost - since[drawn])
+            drawn = drawn[ahead[drawn] - taken < 1e-8]
+            to, ahead[drawn] = chosen(drawn, around, home, degree, mass, ties, pull)
+            moves = to != home[drawn]
+            then[drawn], since[drawn] = mass[to] - np.where(moves, 0, degree[drawn]), lost
+            if moves.any():
+                drawn, to, before, home = drawn[moves], to[moves], home, home.copy()
+                home[drawn] = to
+                row, at = entries(drawn, around[0])
+                other, weight = around[1][at], around[2][at]
+                was, now, out, into = before[other], home[other], before[drawn][row], to[row]
+                joins = now == into
+                inside += (weight * (joins.astype(float) - (was == out)) * (2.0 - (was != now))).sum()  # a pair of two that move has both its entries here
+                ahead += np.bincount(other, weight * (2.0 * joins - 1.0 - (now == out)), n)
+                fresh = np.bincount(home, degree, n)
+                lost, mass = lost + max((mass - fresh).max(), 0.0), fresh
             turn += 1
         if not best[1]:
             break
         left, home = np.unique(kept, return_inverse=True)
-        ids, member, x, y = ids[left], home[member], home[x], home[y]
-        low, high = np.minimum(x, y), np.maximum(x, y)
-        keys, at = np.unique(low * len(ids) + high, return_inverse=True)
-        w = np.bincount(at, w)
-        x, y = np.divmod(keys, len(ids))
-    return nodes, member
+        ids, member = ids[left], home[member]
+        x, y, w = merged(home[x], home[y], w, len(ids))
+        around = neighbours(x, y, w, len(ids))
+    return member
 
 
 def modularity_runs(pairs: DataFrame, p: CommunityParams = CommunityParams()) -> DataFrame:
@@ -194,18 +300,36 @@ def partition(pairs: DataFrame, p: CommunityParams = CommunityParams()) -> DataF
     if kept.limit(p.local_edges + 1).count() > p.local_edges:
         return connected(with_stability(materialise(modularity_runs(kept, p)), p.seeds[0]), kept)
 
-    parts = min(len(p.seeds), pairs.sparkSession.sparkContext.defaultParallelism)  # copies of the graph, each for some seeds
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        a, b, w, out = pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["weight"].to_numpy(), []
-        for seed in p.seeds[int(pdf["part"].iloc[0]) :: parts]:
-            nodes, member = settled(a, b, w, seed, p.resolution)
-            out.append(pd.DataFrame({"seed": seed, "node": nodes, "community": pd.Series(nodes).groupby(member).transform("min").to_numpy()}))
-        return pd.concat(out)
-
-    every = kept.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(parts)]))).repartitionById(parts, F.col("part"))
-    return connected(with_stability(materialise(every.groupBy("part").applyInPandas(run, "seed int, node long, community long")), p.seeds[0]), kept)
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph = coded(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["weight"].to_numpy())
+        return pd.DataFrame({"node": graph[0], "community": named(graph[0], settled(*graph, p.seeds[0], p.resolution))})
+
+    base = materialise(kept.groupBy().applyInPandas(one, "node long, community long"))
+    if not p.seeds[1:]:
+        return connected(base.withColumn("stability", F.lit(1.0)), kept)
+    parts = min(len(p.seeds) - 1, pairs.sparkSession.sparkContext.defaultParallelism)  # copies of the graph, each for some seeds
+
+    def others(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, rows = pdf["first"].to_numpy(), pdf[["a", "b", "weight"]]
+        graph, home = coded(*(rows[c].to_numpy()[~first] for c in rows)), rows[first].set_index("a")["b"].reindex
+        ids, home = graph[0], np.unique(home(graph[0]), return_inverse=True)[1]
+        size, share = np.bincount(home)[home], np.zeros(len(ids))
+        for seed in p.seeds[1 + int(pdf["part"].iloc[0]) :: parts]:
+            _, cell, n = np.unique(home * len(ids) + settled(*graph, seed, p.resolution), return_inverse=True, return_counts=True)
+            share += np.where(size > 1, (n[cell] - 1) / np.maximum(size - 1, 1), 1.0)
+        return pd.DataFrame({"node": ids, "share": share})
+
+    both = kept.withColumn("first", F.lit(False)).union(base.select("node", "community", F.lit(0.0), F.lit(True)))
+    every = both.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(parts)]))).repartitionById(parts, F.col("part"))
+    shares = every.groupBy("part").applyInPandas(others, "node long, share double").groupBy("node").agg(F.sum("share").alias("share"))
+    stability = ((1.0 + F.col("share")) / len(p.seeds)).alias("stability")  # the first run keeps all of its own
+    return connected(materialise(base.join(shares, "node").select("node", "community", stability)), kept)
+
+
+def named(ids: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """The least of ``ids``, which are sorted, with the same label."""
+    _, first, label = np.unique(member, return_index=True, return_inverse=True)
+    return ids[first[label]]
 
 
 def with_stability(runs: DataFrame, base: int) -> DataFrame:
