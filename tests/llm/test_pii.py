@@ -102,3 +102,13 @@ def test_table(spark, rows):
     assert out[1] == ("mail [EMAIL] now", [("email", 5)]) and out[2] == (None, []) and out[3] == ("", [])
     assert out[4][1] == [("email", len(long) - 8)] and out[4][0].endswith("mail [EMAIL]")
     assert pii.find(df.limit(0)).count() == 0
+
+
+def test_a_missing_or_broken_vocabulary_is_no_result(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Anna Smith wrote this")], "doc_id bigint, text string")
+    with pytest.raises(FileNotFoundError):
+        pii.find(df, folder=str(tmp_path))
+    for text in ("", "{}", "[]", '{"model": {"vocab": null}}', '{"model": {"vocab": {}}}', '{"model": {"vocab": {"Zx": 1, "\\u0120Ab": 2}}}'):
+        (tmp_path / pii.VOCABULARY).write_text(text)
+        with pytest.raises(ValueError):
+            pii.find(df, folder=str(tmp_path))

@@ -290,13 +290,20 @@ GAP = re.compile(r"[  \t]{1,2}\Z")
 
 
 def common_words(folder: str = TOKENIZERS, name: str = VOCABULARY) -> frozenset[str]:
-    """Lower-case words that a public vocabulary holds whole, which names seldom are; empty where the file is absent."""
+    """Lower-case words that a public vocabulary holds whole, which names seldom are.
+
+    Raises where the file is absent, cannot be read or holds no such word: without them names are missed and nothing would say so.
+    """
+    path = f"{folder}/{name}"
     try:
-        with open(f"{folder}/{name}", encoding="utf-8") as f:
+        with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-    except OSError:
-        return frozenset()
-    return frozenset(w for t in vocabulary if t[:1] == "Ġ" and len(w := t[1:]) > 2 and w.isascii() and w.isalpha() and w.islower())
+        words = frozenset(w for t in vocabulary if t[:1] == "Ġ" and len(w := t[1:]) > 2 and w.isascii() and w.isalpha() and w.islower())
+    except (ValueError, KeyError, TypeError) as e:
+        raise ValueError(f"{path} is no vocabulary: {e!r}") from e
+    if not words:
+        raise ValueError(f"{path} holds no common words")
+    return words
 
 
 def cased(a: str, b: str) -> bool:
