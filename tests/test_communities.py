@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tidewire.operators import communities
+from tidewire.operators import communities, derive
 from tidewire.operators.communities import PATIENCE, PRIME, SLOWER, TIES, CommunityParams, drawn_number
 
 
@@ -82,3 +86,48 @@ def test_partition_counts_the_mates_of_every_run(spark):
     got = sorted(map(tuple, communities.partition(df, CommunityParams(seeds=tuple(range(7)))).collect()))
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
     assert len({r[1] for r in got}) > 3 and min(r[2] for r in got) < 1
+
+
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_no_copy_of_the_graph_is_shuffled_for_the_seeds(spark):
+    rng = np.random.default_rng(4)
+    a, b = np.unique(np.sort(rng.integers(0, 900, (24_000, 2)), axis=1), axis=0).T
+    df = communities.materialise(spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "weight": rng.random(len(a)) + 0.1})))
+    before = shuffled(spark)
+    got = communities.partition(df, CommunityParams(seeds=tuple(range(6))))
+    assert got.count() == 900 and shuffled(spark) - before < 8 * len(a)
+
+
+def test_stored_pairs_are_those_of_three_steps_moved_once(spark, rows):
+    day, far = datetime(2026, 7, 1), datetime(2025, 1, 1)
+    odd = [
+        (1000000001, 1000000002, "forward", 5, 7, day), (-1001000000001, 1000000002, "forward", 5, 7, far), (1000000002, -1001000000001, "forward", 5, 7, day),  # one twice, and its opposite
+        (1000000001, 1000000002, "mention", 5, None, day), (1000000001, 1000000002, "mention", 5, None, day), (1000000001, 1000000002, "mention", 6, None, far),
+        (1000000003, 1000000003, "mention", 1, None, day), (1000000003, -1001000000003, "mention", 2, None, day), (None, 1000000001, "mention", 3, None, day), (1000000001, None, "forward", 3, None, day),
+        (1000000004, 1000000001, None, 1, None, day), (1000000004, 1000000002, None, 1, None, day), (1000000004, 1000000002, "forward", 1, None, day), (1000000003, 1000000005, "mention", 1, None, None),
+    ]
+    rng = np.random.default_rng(5)
+    many = [(1000000010 + int(x), 1000000010 + int(y), "forward" if k else "mention", i, None, day) for i, (x, y, k) in enumerate(zip(rng.integers(0, 300, 20_000), rng.integers(0, 300, 20_000), rng.random(20_000) < 0.7))]
+    edges = spark.createDataFrame([(*r, None, None) for r in odd + many], "src_channel_id bigint, dst_channel_id bigint, kind string, msg_id bigint, dst_msg_id bigint, published_at timestamp, dst_published_at timestamp, grouped_id bigint")
+    edges = communities.materialise(edges.withColumn("derived_at", F.col("published_at")))
+    now, written = F.to_timestamp(F.lit("2026-08-01")), []
+    for pairs in (lambda: communities.balanced_pairs(communities.decayed_pairs(derive.distinct_edges(edges), now)), lambda: communities.stored_pairs(edges, now)):
+        before = shuffled(spark)
+        written.append((rows(pairs().fillna(0.0, "weight"), "a", "b", "weight"), shuffled(spark) - before))
+    (want, three), (got, one) = written
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+    assert (1000000001, 1000000002) in [r[:2] for r in got] and one < 0.7 * three
+
+
+def test_parts_of_communities_in_arrays():
+    a, b = np.array([1, 2, 5, 6, 2, 8]), np.array([2, 3, 6, 7, 6, 9])
+    ids, around, _ = communities.coded(a, b, np.ones(6))
+    home = np.array([0, 0, 0, 0, 0, 1, 2, 2])  # of 1, 2, 3, 5, 6, 7, 8, 9
+    assert ids[communities.held_together(around, home)].tolist() == [1, 1, 1, 1, 1, 7, 8, 8]
+    assert ids[communities.held_together(around, np.array([0, 0, 0, 1, 0, 1, 2, 2]))].tolist() == [1, 1, 1, 5, 1, 7, 8, 8]

@@ -362,7 +362,7 @@ def balanced_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def community_partition(spark: SparkSession, folder: str) -> DataFrame:
-    return communities.partition(communities.balanced_pairs(decayed(spark, folder)))
+    return communities.partition(communities.stored_pairs(table(spark, folder, "edges"), at()))
 
 
 def label_propagation(spark: SparkSession, folder: str) -> DataFrame:
